@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality import quality_rules
+from .secrets import secret_scan
 from .sharding import shard_rows
 
 
+def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,5 +24,5 @@ def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_quality_isolation_forest, op10_sharding_bounded_ring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_linking, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
 ORACLE: dict[str, str] = {}
