@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .pii import personal_data
 from .quality import quality_rules
 from .secrets import secret_scan
 from .sharding import shard_rows
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -24,5 +29,5 @@ def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_linking, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
 ORACLE: dict[str, str] = {}
