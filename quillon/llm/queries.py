@@ -11,6 +11,7 @@ from .pii import personal_data
 from .quality import quality_rules
 from .secrets import secret_scan
 from .sharding import shard_rows
+from .simhash import simhash_groups
 
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,5 +34,5 @@ def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op4_simhash_balls, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
 ORACLE: dict[str, str] = {}
