@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contamination
 from .packing import pack
+from .phrases import remove_phrases
 from .pii import personal_data
 from .quality import quality_rules
 from .secrets import secret_scan
 from .sharding import shard_rows
 from .simhash import simhash_groups
+from .substrings import remove_substrings
 
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,10 @@ def op5_packing_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,11 +46,15 @@ def op8_quality_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_phrases(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op4_simhash_balls, op5_packing_hilbert, op7_decontamination_prefix_join, op8_quality_isolation_forest, op10_sharding_bounded_ring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op4_simhash_balls, op5_packing_hilbert, op6_substring_dedup, op7_decontamination_prefix_join, op8_quality_isolation_forest, op9_phrase_automata, op10_sharding_bounded_ring)}
 #: Windows of every length that items have, as the query's; a document's words are numbered once and joined on the window's words.
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
