@@ -16,6 +16,7 @@ from .secrets import secret_scan
 from .sharding import shard_rows
 from .simhash import simhash_groups
 from .substrings import remove_substrings
+from .wrappers import extract
 
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op4_simhash_balls, op5_packing_hilbert, op6_substring_dedup, op7_decontamination_prefix_join, op8_quality_isolation_forest, op9_phrase_automata, op10_sharding_bounded_ring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op3_html_wrappers, op4_simhash_balls, op5_packing_hilbert, op6_substring_dedup, op7_decontamination_prefix_join, op8_quality_isolation_forest, op9_phrase_automata, op10_sharding_bounded_ring)}
 #: Windows of every length that items have, as the query's; a document's words are numbered once and joined on the window's words.
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
