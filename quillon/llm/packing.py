@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,10 +42,21 @@ TAIL = re.compile(r"([^\W\d_]+)([.,!?#$%&*|;:]+)")
 _LOADED: dict[str, Vocabulary] = {}
 
 
+def byte_alphabet() -> list[str]:
+    """The characters that byte-level vocabularies write bytes with."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 class Vocabulary:
-    """A tokenizer with a memory of at most MEMORY parts; ids are kept as little-endian 16-bit numbers."""
+    """A tokenizer with a memory of at most MEMORY parts, and as many words; ids are kept as little-endian 16-bit numbers.
+
+    A part that is a word with or without marks after it is the word's ids and the marks'. A word, normalised as the
+    tokenizer does, goes straight to its merges; any other part takes the tokenizer's whole way.
+    """
 
-    MEMORY = 400_000
+    MEMORY = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,6 +69,8 @@ class Vocabulary:
         if self.tokenizer.get_vocab_size(True) > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.alphabet = byte_alphabet()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -65,28 +79,48 @@ class Vocabulary:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
+    def whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def word(self, w: str) -> bytes | None:
+        """The ids of a word in lower case; None where it isn't letters in normal form."""
+        ids = self.words.get(w)
+        if ids is None:
+            if w.isascii():
+                spelled = w
+            elif w.isalpha() and unicodedata.is_normalized("NFC", w):
+                spelled = "".join(map(self.alphabet.__getitem__, w.encode()))
+            else:
+                return None
+            ids = self.words[w] = b"".join([t.id.to_bytes(2, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        return ids
+
     def learn(self, parts: list[str]) -> None:
-        known = self.known
-        fresh: dict[str, None] = {}
-        joints: list[tuple[str, str, str]] = []
+        known, words, rest = self.known, self.words, []
         for p in parts:
-            if (m := TAIL.fullmatch(p)) and m[1].isalpha():
-                joints.append((p, m[1], m[2]))
-                for x in m.groups():
-                    if x not in known:
-                        fresh[x] = None
+            head, tail = p, ""
+            if not p.isalpha():
+                if (m := TAIL.fullmatch(p)) is None or not m[1].isalpha():
+                    rest.append(p)
+                    continue
+                head, tail = m.groups()
+            # lower() is by character but for one letter, and so is the tokenizer's
+            ids = None if "\u03a3" in head or not (head.isascii() or unicodedata.is_normalized("NFC", head)) else self.word(head.lower())
+            if ids is None:
+                rest.append(p)
+            elif not tail:
+                known[p] = ids
             else:
-                fresh[p] = None
-        todo = list(fresh)
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype="<u2").tobytes()
-        for p, a, b in joints:
-            known[p] = known[a] + known[b]
+                if tail not in words:
+                    words[tail] = self.whole([tail])[0]
+                known[p] = ids + words[tail]
+        known.update(zip(rest, self.whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        if len(self.known) > self.MEMORY:
-            self.known.clear()
+        for memory in (self.known, self.words):
+            if len(memory) > self.MEMORY:
+                memory.clear()
         parts = [words_of(t) for t in texts]
         known = self.known
         missing = {w for p in parts for w in p if w not in known}

@@ -17,7 +17,7 @@ def tokenizer():
 
 def test_parts_give_the_ids_of_the_whole_text(spark, tokenizer):
     r = random.Random(4)
-    bits = ["the", "Don't", "we'll!", "ΣΑΣ", "é", "é", " ́x", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>x", "\n", "\t", "  ", "123", "a,###", "日本語", "İ", "word.", "x_y", "ab|", "가", "'s", "ǅ!", "​"]
+    bits = ["the", "Don't", "we'll!", "ΣΑΣ", "é", "é", " ́x", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>x", "\n", "\t", "  ", "123", "a,###", "日本語", "İ", "word.", "x_y", "ab|", "가", "'s", "ǅ!", "​", "ÉCOLE", "écoleÅ", "ΑΣ,", "ſtraße", "ﬁn!", "ÄÖÜ###", "İstanbul", "Ǆ", "ª", "ᾼ"]
     texts = ["".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 25))) for _ in range(1500)]
     texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for text, got in zip(texts, packing.Vocabulary(packing.TOKENIZER).encode(texts)):
