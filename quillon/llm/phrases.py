@@ -1,9 +1,9 @@
 """Removal of word passages that occur twice (operator 9).
 
-Recurring phrases of GRAM words are confirmed over all documents by sorted hashes (windows.py). Each chunk of documents
-then compiles its confirmed phrases, as sequences of word numbers, into an Aho-Corasick automaton and streams all its
-documents through it: places where the automaton finds no confirmed phrase, word by word, are given up; windows around
-the others are compared. So the automata are sharded as the documents are, and each reads its own shard alone.
+Recurring phrases of GRAM words, and the windows around them, are confirmed over all documents by sorted hashes
+(windows.py). Each chunk of documents then compiles its confirmed phrases, as sequences of word numbers, into an
+Aho-Corasick automaton and streams all its documents through it: words go only around places where the automaton finds
+a confirmed phrase, word by word. So the automata are sharded as the documents are, and each reads its own shard alone.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def word_values(text: bytes) -> np.ndarray:
 
 
 def confirm(values: list[np.ndarray], parts: list[Pieces], codes: list[np.ndarray], gram: int) -> list[np.ndarray]:
-    """The codes, with NONE where the automaton of the chunk's confirmed phrases finds none."""
+    """By block, at which pieces the automaton of the chunk's confirmed phrases finds one."""
     if not any(c.any() for c in codes):
-        return codes
+        return [c != NONE for c in codes]
     numbers = np.unique(np.concatenate(values), return_inverse=True)[1].astype(np.int64)
     cuts = np.cumsum([len(v) for v in values])[:-1]
     streams = np.split(numbers, cuts)
@@ -48,7 +48,7 @@ def confirm(values: list[np.ndarray], parts: list[Pieces], codes: list[np.ndarra
         found = np.zeros(len(s) + 1, dtype=bool)
         ends = np.fromiter((e for e, _ in automaton.iter(tuple(s.tolist()))), dtype=np.int64)
         found[ends - gram + 1] = True
-        out.append(np.where(found[p.at], c, NONE).astype(np.uint8))
+        out.append(found[p.at] & (c != NONE))
     return out
 
 

@@ -128,7 +128,7 @@ def pieces(values: np.ndarray, sizes: list[int], size: int, gram: int) -> Pieces
 
 @dataclass(frozen=True)
 class Scheme:
-    """units: the values of a text's units; size and gram in units; confirm: a check of repeated pieces inside a chunk, or None."""
+    """units: the values of a text's units; size and gram in units; confirm: by block, which pieces of a repeated gram are in truth, or None to take them all."""
 
     units: Callable[[bytes], np.ndarray]
     size: int
@@ -312,21 +312,21 @@ class Chunk:
         mine = told(answers)
         flat = mine[self.of] if len(self.of) else np.zeros(0, np.uint8)
         cuts = np.cumsum([len(p.gram) for p in self.parts])[:-1]
-        out = np.split(flat, cuts) if self.parts else []
-        return self.scheme.confirm(self.values, self.parts, out, self.scheme.gram) if self.scheme.confirm else out
+        return np.split(flat, cuts) if self.parts else []
 
     def open_windows(self, codes: list[np.ndarray], buckets: int):
-        """(block, start) of the windows to compare, their buckets and hashes, and distinct() of those."""
-        starts, where, bucket, value = [], [], [], []
+        """Starts, blocks and pieces of the windows to compare, their buckets and hashes, and distinct() of those."""
+        starts, where, owner, bucket, value = [], [], [], [], []
         for b, (p, c) in enumerate(zip(self.parts, codes)):
             s, of = p.windows(np.nonzero((c == ALONE) | (c == FIRST))[0])
             starts.append(s)
             where.append(np.full(len(s), b))
+            owner.append(of)
             bucket.append(bucket_of(p.gram[of], buckets))
             value.append(p.hashes(s))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        starts, where, bucket, value = cat(starts, np.int64), cat(where, np.int64), cat(bucket, U), cat(value, U)
-        return starts, where, bucket, value, distinct(bucket, value)
+        bucket, value = cat(bucket, U), cat(value, U)
+        return cat(starts, np.int64), cat(where, np.int64), cat(owner, np.int64), bucket, value, distinct(bucket, value)
 
 
 def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.ndarray], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +342,7 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
 
     def ask_windows(chunk: int, texts: list[bytes], answers):
         c = Chunk(texts, scheme)
-        _, _, bucket, value, (first, _, again) = c.open_windows(c.codes(answers), wide)
+        *_, bucket, value, (first, _, again) = c.open_windows(c.codes(answers), wide)
         yield from dealt(chunk, bucket[first], [value[first], again.astype(np.uint8)])
 
     first = corpus.ask(corpus.table, ask_pieces, []).groupBy("bucket").applyInPandas(answer_pieces, ANSWER)
@@ -358,16 +358,18 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
                 texts = unpack(batch, i)
                 c = Chunk(texts, scheme)
                 codes = c.codes(batch.column("pieces")[i].as_py())
-                starts, where, _, _, (_, of, _) = c.open_windows(codes, wide)
+                starts, where, owner, _, _, (_, of, _) = c.open_windows(codes, wide)
                 bits = told(batch.column("windows")[i].as_py())
                 hit = bits[of] == 1 if len(of) else np.zeros(0, dtype=bool)
                 masks: dict[int, np.ndarray] = {}
+                sure = scheme.confirm(c.values, c.parts, codes, scheme.gram) if scheme.confirm else [x != NONE for x in codes]
                 for b, (held, p, code) in enumerate(zip(c.segments, c.parts, codes)):
                     edge = np.zeros(len(p.prefix) + 1, np.int64)
-                    whole = code >= FIRST
+                    whole = (code >= FIRST) & sure[b]
                     np.add.at(edge, p.lo[whole], 1)
                     np.add.at(edge, p.hi[whole] + scheme.size, -1)
-                    mine = starts[hit & (where == b)]
+                    mine = hit & (where == b)
+                    mine = starts[mine][sure[b][owner[mine]]]
                     np.add.at(edge, mine, 1)
                     np.add.at(edge, mine + scheme.size, -1)
                     on, at = np.cumsum(edge) > 0, 0
