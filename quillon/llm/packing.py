@@ -50,13 +50,14 @@ def byte_alphabet() -> list[str]:
 
 
 class Vocabulary:
-    """A tokenizer with a memory of at most MEMORY parts, and as many words; ids are kept as little-endian 16-bit numbers.
+    """A tokenizer with a memory of about PARTS parts and WORDS words at most; ids are kept as little-endian 16-bit numbers.
 
     A part that is a word with or without marks after it is the word's ids and the marks'. A word, normalised as the
     tokenizer does, goes straight to its merges; any other part takes the tokenizer's whole way.
     """
 
-    MEMORY = 500_000
+    PARTS = 1_500_000
+    WORDS = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,7 +69,8 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(True) > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.known: dict[str, bytes] = {}
+        self.known = Memory()
+        self.known.learn = self.learn
         self.words: dict[str, bytes] = {}
         self.alphabet = byte_alphabet()
 
@@ -79,9 +81,6 @@ class Vocabulary:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def whole(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
     def word(self, w: str) -> bytes | None:
         """The ids of a word in lower case; None where it isn't letters in normal form."""
         ids = self.words.get(w)
@@ -95,40 +94,47 @@ class Vocabulary:
             ids = self.words[w] = b"".join([t.id.to_bytes(2, "little") for t in self.tokenizer.model.tokenize(spelled)])
         return ids
 
-    def learn(self, parts: list[str]) -> None:
-        known, words, rest = self.known, self.words, []
-        for p in parts:
-            head, tail = p, ""
-            if not p.isalpha():
-                if (m := TAIL.fullmatch(p)) is None or not m[1].isalpha():
-                    rest.append(p)
-                    continue
-                head, tail = m.groups()
-            # lower() is by character but for one letter, and so is the tokenizer's
-            ids = None if "\u03a3" in head or not (head.isascii() or unicodedata.is_normalized("NFC", head)) else self.word(head.lower())
-            if ids is None:
-                rest.append(p)
-            elif not tail:
-                known[p] = ids
-            else:
-                if tail not in words:
-                    words[tail] = self.whole([tail])[0]
-                known[p] = ids + words[tail]
-        known.update(zip(rest, self.whole(rest)))
+    def whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self, part: str) -> bytes:
+        head, tail = part, ""
+        if not part.isalpha():
+            m = TAIL.fullmatch(part)
+            if m is None or not m[1].isalpha():
+                return self.whole(part)
+            head, tail = m.groups()
+        # lower() is by character but for one letter, and so is the tokenizer's
+        if not head.isascii() and ("\u03a3" in head or not unicodedata.is_normalized("NFC", head)):
+            return self.whole(part)
+        ids = self.word(head.lower())
+        if ids is None:
+            return self.whole(part)
+        if tail:
+            marks = self.words.get(tail)
+            if marks is None:
+                marks = self.words[tail] = self.whole(tail)
+            return ids + marks
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        for memory in (self.known, self.words):
-            if len(memory) > self.MEMORY:
+        for memory, most in ((self.known, self.PARTS), (self.words, self.WORDS)):
+            if len(memory) > most:
                 memory.clear()
-        parts = [words_of(t) for t in texts]
-        known = self.known
-        missing = {w for p in parts for w in p if w not in known}
-        if missing:
-            self.learn(list(missing))
         end = np.array([END], dtype="<u2").tobytes()
-        get = known.__getitem__
-        return [b"".join([*map(get, p), end]) for p in parts]
+        get = self.known.__getitem__
+        return [b"".join([*map(get, words_of(t)), end]) for t in texts]
+
+
+class Memory(dict):
+    """Parts and their ids; one that is missing is learnt."""
+
+    __slots__ = ("learn",)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.learn(part)
+        return ids
 
 
 def projection(seed: int = 5) -> np.ndarray:
@@ -164,15 +170,18 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: The bucket of every 16-bit id.
+HASHED = (np.arange(1 << 16, dtype=np.int64) * 0x9E3779B1 >> 7) % BUCKETS
+
+
 def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     """The sort keys of a batch of documents."""
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    flat = np.concatenate(ids).astype(np.int64)
+    flat = np.concatenate(ids)
     of = np.repeat(np.arange(n), [len(i) for i in ids])
-    bucket = (flat * 0x9E3779B1 >> 7) % BUCKETS
-    counts = np.bincount(of * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    counts = np.bincount(of * BUCKETS + HASHED[flat], minlength=n * BUCKETS).reshape(n, BUCKETS)
     vector = np.log1p(counts)
     vector /= np.linalg.norm(vector, axis=1, keepdims=True)  # the end id makes it positive
     at = (vector @ matrix + 3) / 6 * (1 << BITS)
