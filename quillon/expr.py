@@ -108,10 +108,10 @@ def atom(value: Any, kind: type | None = None) -> Any:
         return atom(value, Int32 if -LIMITS[Int32] <= value < LIMITS[Int32] else Int64)
     if isinstance(value, (float, str)):
         return value
+    if getattr(value, "ndim", 0) or hasattr(value, "to_pylist"):
+        return Span(value)
     if hasattr(value, "item"):
         return atom(value.item())
-    if hasattr(value, "dtype") or hasattr(value, "to_pylist"):
-        return Span(value)
     raise TypeError(f"{type(value).__name__} is no atom")
 
 
