@@ -55,14 +55,15 @@ class Session:
         return self
 
     def lookup(self, name: str) -> Relation | None:
-        """A bound, declared or registered table, exactly by name, else by the only one that differs in case."""
-        for found in (self.bindings, self.declared, self.relations):
+        """A declared, bound or registered table, exactly by name, else by the only one that differs in case."""
+        for found in (self.declared, self.bindings, self.relations):
             if name in found:
                 return self._declared(name) if found is self.declared else found[name]
         names = [n for n in {*self.bindings, *self.declared, *self.relations} if n.lower() == name.lower()]
         return self.lookup(names[0]) if len(names) == 1 else None
 
     def bind(self, name: str, rel: Relation) -> None:
+        self.declared.pop(name, None)
         self.bindings[name] = rel
 
     def declare(self, name: str, attributes: list[str]) -> None:
