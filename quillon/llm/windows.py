@@ -7,13 +7,13 @@ leftmost of equals. Runs of windows with the same sampled gram form a piece. Nam
 1. the sampled grams and, over them, the pieces: their hashes are dealt by hash to buckets and sorted there, and
    adjacent ones compared. A gram that occurs once rules out all windows around it. A whole piece that occurs twice
    settles all its windows at once; one of its copies still goes on, for the others to be compared with.
-2. the windows left, at the edges of repeated passages, are sorted by their own hash in the bucket of their gram.
+2. the windows left, at the edges of repeated passages, are dealt by their own hash, sorted and compared.
 
 Every chunk of documents sends each distinct value once, so a value that fills the corpus costs one entry a chunk, and
 gets its answer back in the order it asked in: positions are never shuffled. Text is written once, as compressed
 chunks bucketed by chunk, so joining the answers moves only the answers.
 
-Windows are told apart by 64-bit hashes inside a bucket that an independent hash picks, so by 64 + log2(buckets) bits.
+Windows are told apart by 96 bits: a 64-bit hash of theirs and 32 bits of their gram's.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialize, prepare, shared_dir
 
-CHUNK_BYTES = 4 << 20
-BLOCK_UNITS = 1 << 20
+CHUNK_BYTES = 2 << 20
+BLOCK_UNITS = 1 << 19
 SEGMENT = 1 << 22
 INDEX_BITS = 24
 BUCKET_BYTES = 16 << 20
@@ -123,7 +123,8 @@ def pieces(values: np.ndarray, sizes: list[int], size: int, gram: int) -> Pieces
     lo, hi, where = v[first], v[last], m[first]
     form = mix(((where - lo).astype(U) << U(32)) | (hi - lo).astype(U))
     whole = mix((prefix[hi + size] - prefix[lo]) * inverse[lo] ^ form)
-    return Pieces(where, lo, hi, h[where], whole, prefix, size)
+    # the sampled hashes are small ones, so they are mixed again to fill all buckets alike
+    return Pieces(where, lo, hi, mix(h[where] + BASE), whole, prefix, size)
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,7 @@ def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.ones(n, dtype=bool)
     if n > 1:
         new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    of = np.empty(n, np.int64)
+    of = np.empty(n, np.int32)
     of[order] = np.cumsum(new) - 1
     starts = np.nonzero(new)[0]
     return order[starts], of, np.diff(np.append(starts, n)) > 1
@@ -199,11 +200,12 @@ FLAG, WORD64 = np.dtype(np.uint8), np.dtype(U)
 def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
     """All grams and pieces of a bucket: by sorting, what each chunk's ones are. Chunks are taken in order, so the first copy is the same in every attempt."""
     group = group.sort_values("chunk")
-    gram, piece, again = gathered(group["values"].tolist(), [WORD64, WORD64, FLAG])
+    gram, piece, flags = gathered(group["values"].tolist(), [WORD64, WORD64, FLAG])
     first, of, more = distinct(gram, piece)
-    more |= np.bincount(of, again, len(first)) > 0
+    more |= np.bincount(of, flags & 1, len(first)) > 0
     _, g, gs = distinct(gram[first])
-    repeated = (gs | (np.bincount(g, more, len(gs)) > 0))[g]
+    often = np.bincount(of, flags > 1, len(first)) > 0
+    repeated = (gs | (np.bincount(g, more | often, len(gs)) > 0))[g]
     code = np.where(repeated, np.where(more, AGAIN, ALONE), NONE).astype(np.uint8)[of]
     lead = first[more & repeated]
     code[lead] = FIRST
@@ -213,10 +215,10 @@ def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
 def answer_windows(group: pd.DataFrame) -> pd.DataFrame:
     """All open windows of a bucket: which occur twice."""
     group = group.sort_values("chunk")
-    value, again = gathered(group["values"].tolist(), [WORD64, FLAG])
-    _, of, more = distinct(value)
+    value, gram, again = gathered(group["values"].tolist(), [WORD64, np.dtype(np.uint32), FLAG])
+    _, of, more = distinct(value, gram)
     more |= np.bincount(of, again, len(more)) > 0
-    return replies(group, more[of].astype(np.uint8), 9)
+    return replies(group, more[of].astype(np.uint8), 13)
 
 
 def replies(group: pd.DataFrame, code: np.ndarray, width: int) -> pd.DataFrame:
@@ -307,43 +309,60 @@ class Chunk:
         self.piece = np.concatenate([p.piece for p in self.parts] or [none])
         self.first, self.of, self.again = distinct(self.gram, self.piece)
 
-    def codes(self, answers: list | None) -> list[np.ndarray]:
+    def questions(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pieces in the order they are asked in, their buckets and flags.
+
+        A gram that the chunk has once meets its like in the gram's bucket, at most once a chunk. One that it has more
+        often is known to be repeated, and its pieces are dealt by themselves, so a gram with contexts without end
+        fills no bucket. A piece that comes both ways is at worst compared window by window.
+        """
+        gram, piece = self.gram[self.first], self.piece[self.first]
+        _, g, more = distinct(gram)
+        often = (more | (np.bincount(g, self.again, len(more)) > 0))[g] if len(gram) else np.zeros(0, dtype=bool)
+        bucket = bucket_of(np.where(often, piece, gram), buckets)
+        order = np.lexsort((piece, gram, bucket))
+        return order, bucket[order], (self.again + 2 * often.astype(np.uint8)).astype(np.uint8)[order]
+
+    def codes(self, answers: list | None, buckets: int) -> list[np.ndarray]:
         """By block the codes of its pieces."""
-        mine = told(answers)
+        mine = np.zeros(len(self.first), np.uint8)
+        if len(mine):
+            mine[self.questions(buckets)[0]] = told(answers)
         flat = mine[self.of] if len(self.of) else np.zeros(0, np.uint8)
         cuts = np.cumsum([len(p.gram) for p in self.parts])[:-1]
         return np.split(flat, cuts) if self.parts else []
 
-    def open_windows(self, codes: list[np.ndarray], buckets: int):
-        """Starts, blocks and pieces of the windows to compare, their buckets and hashes, and distinct() of those."""
-        starts, where, owner, bucket, value = [], [], [], [], []
+    def open_windows(self, codes: list[np.ndarray]):
+        """Starts, blocks and pieces of the windows to compare, their hashes and those of their grams, and distinct() of both."""
+        starts, where, owner, gram, value = [], [], [], [], []
         for b, (p, c) in enumerate(zip(self.parts, codes)):
             s, of = p.windows(np.nonzero((c == ALONE) | (c == FIRST))[0])
-            starts.append(s)
-            where.append(np.full(len(s), b))
-            owner.append(of)
-            bucket.append(bucket_of(p.gram[of], buckets))
+            starts.append(s.astype(np.int32))
+            where.append(np.full(len(s), b, np.int32))
+            owner.append(of.astype(np.int32))
+            gram.append((p.gram[of] >> U(32)).astype(np.uint32))
             value.append(p.hashes(s))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        bucket, value = cat(bucket, U), cat(value, U)
-        return cat(starts, np.int64), cat(where, np.int64), cat(owner, np.int64), bucket, value, distinct(bucket, value)
+        gram, value = cat(gram, np.uint32), cat(value, U)
+        return cat(starts, np.int32), cat(where, np.int32), cat(owner, np.int32), value, gram, distinct(value, gram)
 
 
 def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.ndarray], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, then finish(text, mask of units that repeated windows cover)."""
     corpus = Corpus(docs, id_col, text_col)
-    # 17 bytes for about two pieces in each (size - gram + 2) units; 9 for each window at most
+    # 17 bytes for about two pieces in each (size - gram + 2) units; 13 for each window at most
     many = max(1, -(-corpus.size * 34 // ((scheme.size - scheme.gram + 2) * BUCKET_BYTES)))
-    wide = max(1, -(-corpus.size * 9 // (4 * BUCKET_BYTES)))
+    wide = max(1, -(-corpus.size * 13 // (4 * BUCKET_BYTES)))
 
     def ask_pieces(chunk: int, texts: list[bytes]):
         c = Chunk(texts, scheme)
-        yield from dealt(chunk, bucket_of(c.gram[c.first], many), [c.gram[c.first], c.piece[c.first], c.again.astype(np.uint8)])
+        order, bucket, flags = c.questions(many)
+        yield from dealt(chunk, bucket, [c.gram[c.first][order], c.piece[c.first][order], flags])
 
     def ask_windows(chunk: int, texts: list[bytes], answers):
         c = Chunk(texts, scheme)
-        *_, bucket, value, (first, _, again) = c.open_windows(c.codes(answers), wide)
-        yield from dealt(chunk, bucket[first], [value[first], again.astype(np.uint8)])
+        *_, value, gram, (first, _, again) = c.open_windows(c.codes(answers, many))
+        yield from dealt(chunk, bucket_of(value[first], wide), [value[first], gram[first], again.astype(np.uint8)])
 
     first = corpus.ask(corpus.table, ask_pieces, []).groupBy("bucket").applyInPandas(answer_pieces, ANSWER)
     first = materialize(corpus.collect(first, "pieces"))
@@ -357,8 +376,8 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
             for i in range(batch.num_rows):
                 texts = unpack(batch, i)
                 c = Chunk(texts, scheme)
-                codes = c.codes(batch.column("pieces")[i].as_py())
-                starts, where, owner, _, _, (_, of, _) = c.open_windows(codes, wide)
+                codes = c.codes(batch.column("pieces")[i].as_py(), many)
+                starts, where, owner, _, _, (_, of, _) = c.open_windows(codes)
                 bits = told(batch.column("windows")[i].as_py())
                 hit = bits[of] == 1 if len(of) else np.zeros(0, dtype=bool)
                 masks: dict[int, np.ndarray] = {}
