@@ -132,3 +132,11 @@ def test_edges(spark, docs):
         assert all(r.n_removed == r[1] > 0 for r in rows if r.doc_id == 5)
         assert all(r.n_removed == 0 for r in rows if r.doc_id in (2, 3, 4))
     assert substrings.remove_substrings(docs.limit(0)).collect() == [] == phrases.remove_phrases(docs.limit(0)).collect()
+
+
+def test_difference_cover_gives_the_same(spark):
+    from quillon.llm import suffixes
+
+    docs = planted(7, letters)[:25] + planted(7, letters)[-6:]
+    assert got(suffixes.remove_by_difference_cover(frame(spark, docs))) == brute_bytes(docs)
+    assert suffixes.remove_by_difference_cover(frame(spark, docs).limit(0)).collect() == []
