@@ -165,7 +165,7 @@ query("load_columns", '(Load "$SF/customer.parquet" c_custkey c_mktsegment)', "S
 query("load_bind", '(Load r "$SF/region.parquet") (Project r r_regionkey r_name)', "SELECT r_regionkey, r_name FROM region")
 query("table_literal", '(Table (id 1 2 3) (price 4.5 NULL 6.25) (name "a" "b" NULL) (flag #t NULL #f))', "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(4.5 AS DOUBLE), 'a', true), (2, NULL, 'b', NULL), (3, 6.25, NULL, false)) AS t(id, price, name, flag)")
 query("table_lists", '(Table (x (List 1 2)) (y (List "a" "b")))', "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'b')) AS t(x, y)")
-query("table_symbols", "(Filter (Table (sport Running Swimming) (distance 5 10)) (Equal sport Running))", "SELECT 'Running' AS sport, CAST(5 AS BIGINT) AS distance")
+query("table_symbols", "(Filter (Table (game Chess Go) (players 2 3)) (Equal game Go))", "SELECT 'Go' AS game, CAST(3 AS BIGINT) AS players")
 query("create_insert", "(CreateTable t id:INTEGER name:VARCHAR:10) (InsertInto t 1 \"a\") (InsertInto t 2 \"b\") (Project t id name)", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'b')) AS t(id, name)")
 query("insert_interpolate", "(CreateTable t x y) (InsertInto t 1 10) (InsertInto t 2 (Interpolate x)) (InsertInto t 9 20) (Project t x y)", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(10 AS BIGINT)), (2, 15), (9, 20)) AS t(x, y)")
 query("interpolate", "(Project (Table (x (List 1 3 5)) (y (List 7 (Interpolate x) 9))) (As x x y y))", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(7 AS BIGINT)), (3, 8), (5, 9)) AS t(x, y)")

@@ -39,7 +39,7 @@ def test_printing():
     assert to_text(Expr(big, big)) == f'({big} "{big}")'
 
 
-@pytest.mark.parametrize("text", ["42", "3000000000", "3.14", '"hello"', "mySymbol", "#t", "#f", "(Head)", "(Plus 1)", "(Plus 1 2)", "(Select (From myTable) (Where (Greater age 30)))", '(Load "myfile.csv")', '(Insert "tableName" 42 3.14)', "(Greater |sum(q)| 3)", '(|a b| "c\\"d\\\\")'])
+@pytest.mark.parametrize("text", ["42", "3000000000", "3.14", '"hello"', "mySymbol", "#t", "#f", "(Head)", "(Plus 1)", "(Plus 1 2)", "(Select (From staff) (Where (Less years 7)))", '(Load "staff.csv")', '(Insert "staff" 7 0.5)', "(Greater |sum(q)| 3)", '(|a b| "c\\"d\\\\")'])
 def test_reader_round_trip(text):
     assert write(read(text)) == text
 
@@ -68,7 +68,7 @@ def test_write_then_read_is_the_same(x):
 
 
 def test_url():
-    assert read_url("/Customer/:/Project/:/As/Name/FirstName") == read("(Project Customer (As Name FirstName))")
+    assert read_url("/People/:/Project/:/As/Short/Nick") == read("(Project People (As Short Nick))")
     assert read_url("/t/:/Filter/:/Greater/a/1/::/::/Schema") == read("(Schema (Filter t (Greater a 1)))")
     assert read_url("/t/:/Filter/:/Greater/a/1/:::/Top/2") == read("(Top (Filter t (Greater a 1)) 2)")
 
