@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, materialize, per_text, prepare
+from .common import id_text, materialize, per_text, prepare
 from .graph import connected_components
 
 WORDS = 3
@@ -85,13 +85,14 @@ def links(points: DataFrame) -> DataFrame:
     keyed = points.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     able = materialize(keyed.join(shared, "key", "left_semi").select("fp").distinct())
+    # each fingerprint becomes about a thousand rows, so few bytes of them are work for many tasks
+    able = able.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     ms = masks()
     near = F.transform(F.array(*[F.lit(m) for m in ms[:65]]), lambda m: m.bitwiseXOR(F.col("fp")))
     ball = F.transform(F.array(*[F.lit(m) for m in ms]), lambda m: m.bitwiseXOR(F.col("fp")))
     centre = able.select("fp", F.explode(near).alias("v")).groupBy("v").agg(F.min("fp").alias("centre"))
     met = able.select("fp", F.explode(ball).alias("v")).join(centre.hint("shuffle_hash"), "v").where("fp <> centre")
     out = materialize(met.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
-    discard(able)
     return out
 
 

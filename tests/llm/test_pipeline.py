@@ -50,3 +50,19 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_nulls_ties_and_repeated_rows(spark):
+    """Nulls in any column, an empty and a very long text, repeated rows: every stage runs, and good rows stay once."""
+    kept = corpus_pipeline.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).where("n_chars between 800 and 3000")
+    good = [d.text for d in kept.orderBy("doc_id").collect() if "token" not in d.text][::7]
+    rows = [(1, good[0], "en", None, 3), (1, good[0], "en", None, 3), (2, good[1], None, "s", None), (None, good[2], "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (None, None, None, None, None), (5, "\n".join(good) * 30, "en", "s", 9), (6, good[3] + ' token = "a1b2c3d4e5f60718"', "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = sorted(docs.collect(), key=lambda d: (d.doc_id is None, d.doc_id))
+    assert [d.doc_id for d in kept][:2] == [1, 2] and kept[-1].doc_id is None and 6 in {d.doc_id for d in kept}
+    assert "a1b2c3d4" not in "".join(d.text for d in kept)
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    assert sum(p.start == 0 for p in packed) == len(kept)
