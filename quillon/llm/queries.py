@@ -74,4 +74,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE: dict[str, str] = {"op7_decontamination_prefix_join": OP7_SQL}
+#: Every window of 35 words as one string, counted over all documents; the words that no repeated one covers stay.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spot AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+often AS (SELECT s FROM spot GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM spot JOIN often USING (s), unnest(range(i, i + 35)) AS t(p)),
+lost AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(w[p], ' ' ORDER BY p) AS k FROM (SELECT r, w, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op7_decontamination_prefix_join": OP7_SQL, "op9_phrase_automata": OP9_SQL}
