@@ -23,6 +23,7 @@ CAP = 1_000_000
 DDL = {"INTEGER": T.LongType(), "BIGINT": T.LongType(), "INT": T.LongType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType(), "DECIMAL": T.DecimalType(15, 2), "DATE": T.DateType(), "BOOLEAN": T.BooleanType()}
 
 Stage = Callable[[Any], Any]
+KERNEL = frozenset(("EvaluateInEngines", "SetDefaultEnginePipeline", "ResetEngines"))
 
 
 class Session:
@@ -172,7 +173,8 @@ class Session:
         stages = [self._stage(_path(a)) for a in x.args[0].arguments()]
         out: Any = None
         for e in x.args[1:]:
-            out = e
+            # the kernel's own operators are evaluated before the stages see what they give
+            out = self.evaluate(e) if isinstance(e, Expr) and str(e.head) in KERNEL else e
             for stage in stages:
                 out = stage(out)
         return out

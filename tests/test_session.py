@@ -43,6 +43,7 @@ def test_kernel_operators(session):
         session.evaluate("(EvaluateInEngines (List 9) 5)")
     session.register_stage("twice", lambda x: Expr("Plus", x, x))
     assert session.evaluate('(EvaluateInEngines (List "twice" "spark") 1 4)') == 8
+    assert session.evaluate('(EvaluateInEngines (List "spark") (EvaluateInEngines (List "twice" "spark") 4))') == 8
     assert session.evaluate('(SetDefaultEnginePipeline "twice")') == "okay"
     assert session.evaluate('(SetDefaultEnginePipeline "spark")') == "okay"
     assert session.pipeline == ["twice", "spark"] and session.evaluate("21") == 42
