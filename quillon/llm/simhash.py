@@ -112,5 +112,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near-duplicates: of each group the document of the smallest id, once."""
     groups = simhash_groups(docs, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
+    # null ids meet through a flag, so that one shuffle by id serves the join and the removal of repeated rows
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_none"))
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct()
+    rows = docs.select("*", *key(F.col(id_col).cast("long")))
+    return rows.join(stay, ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", text_col]).select(*docs.columns)
