@@ -6,6 +6,7 @@ order, each range runs alone and takes on what the ranges before it add up to, w
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, Window
@@ -48,8 +49,12 @@ def ranged(rel: Relation, ranges: int = RANGES) -> Column | None:
     cuts = sorted(set(cuts or []))
     if not cuts:
         return None
-    # searched by halves through nested conditions would be code without end; the array's position is one pass
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)).cast("long")
+    # how many cuts lie below the value, in two steps of about the root of their number each
+    step = math.isqrt(len(cuts) - 1) + 1
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value)).cast("long")
+    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) if cuts[step - 1 :: step] else F.lit(0).cast("long")
+    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
+    at = coarse * step + F.coalesce(below(F.get(fine, coarse.cast("int"))), F.lit(0)).cast("long")
     at = F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(at)
     return F.when(value.isNull(), at).otherwise(-at) if descending else at
 
