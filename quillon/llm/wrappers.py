@@ -9,12 +9,13 @@ page by the wrapper itself, and the main container is the one that holds most of
 page whole and keeps the blocks in that container; a page that doesn't fit its host's wrapper is judged alone.
 
 Streams are folded and counted where the pages are, so a host with a third of all pages sends its distinct streams,
-not its pages. They are merged per host and salt, then per host. The wrappers are broadcast where their measured size
-is under BROADCAST bytes, else joined by host.
+not its pages. They are merged level by level, each level over fewer parts of a host, so that no task gathers a host's
+streams, nor the copies of one stream from all tasks. The wrappers are broadcast where their measured size is under
+BROADCAST bytes, else joined by host.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host belongs to the host "";
-repeated rows are extracted each; unclosed, unopened and misnested tags are taken as they come; an empty table gives
-no rows; extra columns are ignored.
+repeated rows are extracted each; unclosed, unopened and misnested tags are taken as they come; below DEEPEST open
+elements only whether some are no part of an article counts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +25,22 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-SALTS = 16
+#: Parts of a host at each level of merging: of streams by form and task, then by form, then by its remainders.
+SPREAD = 64
+LEVELS = (4096, 64, 1)
+#: Sides whose product is larger are aligned at their ends alone.
+ALIGNED = 1 << 20
 BROADCAST = 8 << 20
 FLUSH = 5000
 LONGEST_UNIT = 24
@@ -87,6 +94,8 @@ class Page:
         self.events: list[str | tuple[str, int]] = []
         self.paths: list[Path] = []
         stack: list[tuple[str, str]] = []
+        open_names: Counter[str] = Counter()
+        below: list[bool] = []  # of open elements under DEEPEST, whether they or one above them there are no part of an article
         held: list[str] = []
         links = depth = at = 0
 
@@ -96,12 +105,21 @@ class Page:
                 text = " ".join(html.unescape("".join(held)).split())
                 if text:
                     self.events.append((text, links))
-                    self.paths.append(tuple(x for _, x in stack))
+                    self.paths.append(tuple(x for _, x in stack[:DEEPEST]) + (("deep!",) if below and below[-1] else ()))
                 held.clear()
             links = 0
 
+        def push(name: str, mark: str) -> None:
+            if len(stack) >= DEEPEST:
+                below.append("!" in mark.split(".", 1)[0] or bool(below and below[-1]))
+            stack.append((name, mark))
+            open_names[name] += 1
+            self.events.append(mark)
+
         def pop() -> None:
-            stack.pop()
+            open_names[stack.pop()[0]] -= 1
+            if below:
+                below.pop()
             self.events.append("/")
 
         source = source or ""
@@ -120,7 +138,7 @@ class Page:
             elif name in BLOCKS:
                 flush()
                 if m["end"]:
-                    if any(n == name for n, _ in stack):
+                    if open_names[name]:
                         while stack[-1][0] != name:
                             pop()
                         pop()
@@ -134,8 +152,7 @@ class Page:
                 mark = label(name, m["rest"])
                 if name == "header" and not any("*" in x for _, x in stack) and "!" not in mark:
                     mark = "header!" + mark[6:]
-                stack.append((name, mark))
-                self.events.append(mark)
+                push(name, mark)
         if at < len(source):
             held.append(source[at:])
         flush()
@@ -187,9 +204,10 @@ def tandem(items: list[Item], unit: int) -> list[Item]:
     keys, out, i = [likeness(x) for x in items], [], 0
     while i < len(items):
         j = i + unit
-        while keys[i : i + unit] == keys[j : j + unit]:
-            j += unit
-        if j == i + unit or all(k == "#" for k in keys[i : i + unit]):
+        if any(k != "#" for k in keys[i:j]):
+            while keys[i : i + unit] == keys[j : j + unit]:
+                j += unit
+        if j == i + unit:
             out.append(items[i])
             i += 1
             continue
@@ -239,11 +257,23 @@ def core(item: Item) -> tuple[str, ...]:
     return tuple(map(key, item[1])) if item[0] in "+?" else (key(item),)
 
 
+def matched(ka: list, kb: list) -> list[tuple[str, int, int, int, int]]:
+    """Which stretches of two lists of keys are equal. Lists too long to compare throughout are aligned from their ends, what lies between them being different."""
+    if ka == kb:
+        return [("equal", 0, len(ka), 0, len(kb))]
+    if len(ka) * len(kb) <= ALIGNED:
+        return difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes()
+    least = min(len(ka), len(kb))
+    head = next((i for i in range(least) if ka[i] != kb[i]), least)
+    tail = next((i for i in range(least - head) if ka[-1 - i] != kb[-1 - i]), least - head)
+    i, j = len(ka) - tail, len(kb) - tail
+    return [("equal", 0, head, 0, head), ("replace", head, i, head, j), ("equal", i, len(ka), j, len(kb))]
+
+
 def align(a: list[Item], b: list[Item]) -> list[Item]:
     """The wrapper of two streams or wrappers."""
-    ka, kb = [core(x) for x in a], [core(x) for x in b]
     out: list[Item] = []
-    for op, i, j, k, m in [("equal", 0, len(a), 0, len(b))] if ka == kb else difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+    for op, i, j, k, m in matched([core(x) for x in a], [core(x) for x in b]):
         if op == "equal":
             for x, y in zip(a[i:j], b[k:m]):
                 kinds = {z[0] for z in (x, y) if z[0] in "+?"}
@@ -260,17 +290,20 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
 def stream(page: Page) -> list[Item]:
     """A page's events as folded items."""
     stack: list[tuple[str, list[Item]]] = [("", [])]
+    deeper = 0  # open elements below DEEPEST: what lies deeper than any template is one level
     for e in page.events:
         if isinstance(e, tuple):
             stack[-1][1].append(["#", zlib.crc32(e[0].encode("utf-8", "surrogatepass")), len(e[0]), e[1], 1])
         elif e != "/":
-            stack.append((e, []))
-        elif len(stack) <= DEEPEST:
+            if len(stack) > DEEPEST:
+                deeper += 1
+            else:
+                stack.append((e, []))
+        elif deeper:
+            deeper -= 1
+        else:
             name, items = stack.pop()
             stack[-1][1].append(["e", name, fold(items)])
-        else:  # what lies deeper than any template is one level
-            _, items = stack.pop()
-            stack[-1][1].extend(items)
     return fold(stack[0][1])
 
 
@@ -348,7 +381,7 @@ def main_text(page: Page, told: dict | None) -> str:
 
 
 # -- over tables -----------------------------------------------------------------------------------------------------
-PARTIAL = "host string, salt int, shape long, wrapper string"
+PARTIAL = "host string, shape long, part int, wrapper string"
 
 
 def merged(wrappers: list[list[Item]]) -> list[Item]:
@@ -371,12 +404,13 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list[Item]] = {}
+        task = TaskContext.get().partitionId() % SPREAD
 
         def out() -> pa.RecordBatch:
             keys = list(held)
             shape = [zlib.crc32(k[1].encode("utf-8", "surrogatepass")) for k in keys]
-            columns = [[k[0] for k in keys], [s % SALTS for s in shape], shape, [json.dumps(held[k]) for k in keys]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()))], ["host", "salt", "shape", "wrapper"])
+            columns = [[k[0] for k in keys], shape, [task] * len(keys), [json.dumps(held[k]) for k in keys]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["host", "shape", "part", "wrapper"])
 
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -389,22 +423,24 @@ def induce(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    def by(combine, key: str):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
+    def level(last: bool):
+        def one(group: pd.DataFrame) -> pd.DataFrame:
             known: dict[str, list] = {}
             for w in map(json.loads, group.wrapper):
                 known.setdefault(" ".join(map(form, w)), []).append(w)
-            w = combine([same(v) for v in known.values()])
+            w = merged([same(v) for v in known.values()])
             first = group.iloc[0]
-            return pd.DataFrame({"host": [first.host], "salt": [first.salt], "shape": [first["shape"]], "wrapper": [key == "host" and json.dumps(verdict(w)) or json.dumps(w)]})
+            return pd.DataFrame({"host": [first.host], "shape": [first["shape"]], "part": [0], "wrapper": [json.dumps(verdict(w) if last else w)]})
 
-        return run
+        return one
 
     rows = pages.mapInArrow(streams, PARTIAL)
-    # copies of a stream, then the streams of a host and salt, then of a host
-    rows = rows.groupBy("host", "salt", "shape").applyInPandas(by(merged, "shape"), PARTIAL)
-    rows = rows.groupBy("host", "salt").applyInPandas(by(merged, "salt"), PARTIAL)
-    return rows.groupBy("host").applyInPandas(by(merged, "host"), PARTIAL).select("host", F.col("wrapper").alias("verdict"))
+    # the copies of a stream by task, then all of them, then the streams of ever larger parts of a host
+    rows = rows.groupBy("host", "shape", "part").applyInPandas(level(False), PARTIAL)
+    rows = rows.groupBy("host", "shape").applyInPandas(level(False), PARTIAL)
+    for parts in LEVELS:
+        rows = rows.groupBy("host", F.pmod("shape", F.lit(parts)).alias("of")).applyInPandas(level(parts == LEVELS[-1]), PARTIAL)
+    return rows.select("host", F.col("wrapper").alias("verdict"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -59,6 +59,31 @@ def test_broken_markup():
     Page("<" * 50_000), Page("<a '" * 5_000), Page("<div>" * 20_000)
 
 
+def test_deep_pages():
+    deep = "<div>" * 200
+    assert main_text(Page(f"<article>{deep}<p>One<nav>Menu <b>x</b></nav><p>Two</p>"), None) == "One Two"
+    many = Page("<article>" + "".join(f"<div>text {i}" for i in range(5_000)))
+    assert main_text(many, None) == " ".join(f"text {i}" for i in range(5_000))
+    assert max(map(len, many.paths)) == wrappers.DEEPEST and stream(many)
+
+
+def test_long_streams_are_aligned_at_their_ends(monkeypatch):
+    pages = [f"<h1>{i}</h1>" + "".join(f"<{t}>{i}{t}</{t}>" for t in tags) + "<p>end</p>" for i, tags in enumerate((["h2", "pre", "h3"], ["h3", "h2"]))]
+    monkeypatch.setattr(wrappers, "ALIGNED", 1)
+    assert render(merged([stream(Page(p)) for p in pages])) == "<h1> #text </> (<h2> =text </>)? (<pre> =text </>)? (<h3> =text </>)? (<h3> =text </>)? (<h2> =text </>)? <p> =text </>"
+
+
+def test_merging_by_levels_gives_the_same(spark, monkeypatch):
+    html = [page(*(f"Sentence {i} {j} with words." for j in range(i % 5 + 1)), extra="<table><tr><td>x</table>" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(7)
+    monkeypatch.setattr(wrappers, "SPREAD", 1)
+    monkeypatch.setattr(wrappers, "LEVELS", (1,))
+    once = sorted(map(tuple, wrappers.extract(df).collect()))
+    monkeypatch.setattr(wrappers, "SPREAD", 3)
+    monkeypatch.setattr(wrappers, "LEVELS", (8, 2, 1))
+    assert sorted(map(tuple, wrappers.extract(df).collect())) == once
+
+
 def expected(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     return " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")).split())
