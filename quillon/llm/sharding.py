@@ -9,8 +9,9 @@ Only the row counts of the cells, CELLS numbers whatever the input, reach the dr
 table of at most CELLS + points pieces (cell, ranks from..to, shard, first slot), broadcast because its size is
 bounded by constants. A row's rank lies in its cell alone, so no task sorts more than one cell.
 
-Defined cases: null text has size 8 and the CRC of no bytes; null ids hash as a value of their own; rows that are
-equal in all columns are kept and get slots of their own; an empty table gives no rows; other columns are ignored.
+Defined cases: null text has size 8 and the CRC of no bytes; rows of a null id are keyed by size and CRC of their text;
+rows that are equal in all columns are kept and get slots of their own; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -78,9 +79,10 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull()))
+    # rows without an id are keyed by their text, so that many of them don't share a cell
+    none = F.col("doc_id").isNull()
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), none, F.when(none, F.col("text_crc32")), F.when(none, F.col("size"))))
     rows = rows.withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))
-    # the ids alone decide the cell, so counting reads no text
     counts = np.zeros(CELLS, dtype=np.int64)
     for cell, n in rows.groupBy("cell").count().collect():  # CELLS rows at most
         counts[cell] = n

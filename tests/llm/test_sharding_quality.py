@@ -30,6 +30,13 @@ def test_edge_rows_and_empty(spark, docs):
     assert sharding.shard_rows(docs.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text ', id) AS text")
+    owner, rows = sharding.ring(4), sharding.shard_rows(df, shards=4).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [100] * 4 and len(set(owner)) == 4
+    assert len({(r.shard, r.slot) for r in rows}) == 400
+
+
 def brute(counts, owner, shards):
     """Row by row on the ring: own cells first, then what is left over walks clockwise."""
     total = int(counts.sum())
