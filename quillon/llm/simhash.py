@@ -33,35 +33,30 @@ WORDS = 3
 SEED = 42
 RADIUS = 3
 BLOCKS = 6
+#: Shingles of a text that are hashed and counted at a time.
+SLICE = 1 << 15
 HALVES = (range(32), range(32, 64))
 
 
 def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
     """The SimHash of each text, as unsigned 64-bit numbers. bytes.lower() and bytes.split() touch ASCII letters and the six ASCII blanks only."""
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    sizes = []
-    for text in texts:
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for d, text in enumerate(texts):
         parts = text.encode("utf-8", "surrogatepass").lower().split()
-        before = len(hashes)
+        if not parts:
+            continue
+        norm = b" ".join(parts)
         if len(parts) >= words:
-            norm = b" ".join(parts)
             ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
-            starts = [0, *ends[:-words].tolist()]
-            hashes += [digest(norm[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-        elif parts:
-            hashes.append(digest(b" ".join(parts), SEED))
-        sizes.append(len(hashes) - before)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    n = np.array(sizes)
-    full = np.nonzero(n)[0]
-    if len(full):
-        begin = np.cumsum(n) - n
-        values = np.array(hashes, dtype=np.uint64)
-        for d in full:
-            bits = np.unpackbits(values[begin[d] : begin[d] + n[d]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            on = 2 * bits.sum(axis=0, dtype=np.int64) > n[d]
-            out[d] = np.packbits(on, bitorder="little").view(np.uint64)[0]
+            starts, stops = [0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist()
+        else:
+            starts, stops = [0], [len(norm)]
+        votes = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(starts), SLICE):
+            h = np.array([digest(norm[a:b], SEED) for a, b in zip(starts[i : i + SLICE], stops[i : i + SLICE])], dtype=np.uint64)
+            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[d] = np.packbits(2 * votes > len(starts), bitorder="little").view(np.uint64)[0]
     return out
 
 
