@@ -39,7 +39,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 
 WEAK_ID = re.compile(r"(?i:\b(?:access[_-]?key(?:[_-]?id)?|key[_-]?id|client[_-]?id|account|login|user(?:name)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9][A-Za-z0-9@._-]{2,})|\b(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}", re.ASCII)
 WEAK_SECRET = re.compile(r"(?i:\b(?:pwd|pass|auth|credential|private[_-]?key|signature|key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@$%^-]{6,})|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-WEAK_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+|(?i:\b(?:endpoint|host(?:name)?|server|bucket))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9][A-Za-z0-9._-]{2,}(?::[0-9]{2,5})?)|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b", re.ASCII)
+WEAK_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+|(?i:\b(?:endpoint|host(?:name)?|server|bucket))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9][A-Za-z0-9._-]{2,}(?::[0-9]{2,5})?)|(?<![a-z0-9.-])(?:[a-z0-9-]++\.)++[a-z]{2,}+:[0-9]{2,5}\b", re.ASCII)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
 
