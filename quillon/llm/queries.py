@@ -74,6 +74,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
+#: Every string of 200 bytes by its MD5, counted over all documents; the runs that repeated ones cover go.
+OP6_SQL = r"""
+WITH s AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, encode(coalesce(text, '')) AS x FROM documents),
+spot AS (SELECT r, i, md5_number(array_slice(x, i + 1, i + 200)) AS k FROM s, unnest(range(0, n - 199)) AS t(i) WHERE n >= 200),
+often AS (SELECT k FROM spot GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM spot JOIN often USING (k)),
+runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM hit),
+gone AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, run),
+told AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS rest FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(hex(array_slice(x, a + 1, b)), '' ORDER BY a) AS k FROM (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM gone) JOIN s USING (r) WHERE b > a GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN x ELSE unhex(coalesce(k, '') || hex(array_slice(x, rest + 1, n))) END) AS kept_sha256 FROM s LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
 #: Every window of 35 words as one string, counted over all documents; the words that no repeated one covers stay.
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -85,4 +98,4 @@ kept AS (SELECT r, string_agg(w[p], ' ' ORDER BY p) AS k FROM (SELECT r, w, p FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op7_decontamination_prefix_join": OP7_SQL, "op9_phrase_automata": OP9_SQL}
+ORACLE: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op7_decontamination_prefix_join": OP7_SQL, "op9_phrase_automata": OP9_SQL}
