@@ -43,7 +43,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_quillon_dir", None)
         if base is None:
