@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CELLS = 1 << 16
 REPLICAS = 128
 PIECES = "cell int, lo long, hi long, shard int, first long"
@@ -82,7 +84,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     # rows without an id are keyed by their text, so that many of them don't share a cell
     none = F.col("doc_id").isNull()
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), none, F.when(none, F.col("text_crc32")), F.when(none, F.col("size"))))
-    rows = rows.withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int"))
+    # the texts are read once: what is counted and then placed is a few numbers a row
+    rows = materialize(rows.withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int")))
     counts = np.zeros(CELLS, dtype=np.int64)
     for cell, n in rows.groupBy("cell").count().collect():  # CELLS rows at most
         counts[cell] = n
