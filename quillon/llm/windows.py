@@ -10,7 +10,8 @@ leftmost of equals. Runs of windows with the same sampled gram form a piece. Nam
 2. the windows left, at the edges of repeated passages, are dealt by their own hash, sorted and compared.
 
 Every chunk of documents sends each distinct value once, so a value that fills the corpus costs one entry a chunk, and
-gets its answer back in the order it asked in: positions are never shuffled. Text is written once, as compressed
+gets its answer back in the order it asked in: positions are never shuffled. A bucket hears FAN chunks at most: where
+there are more, parts of the chunks condense what they ask to distinct values, and hand the answers on. Text is written once, as compressed
 chunks bucketed by chunk, so joining the answers moves only the answers.
 
 Windows are told apart by 96 bits: a 64-bit hash of theirs and 32 bits of their gram's.
@@ -36,6 +37,7 @@ BLOCK_UNITS = 1 << 19
 SEGMENT = 1 << 22
 INDEX_BITS = 24
 BUCKET_BYTES = 16 << 20
+FAN = 1 << 16
 NONE, ALONE, FIRST, AGAIN = 0, 1, 2, 3
 
 U = np.uint64
@@ -195,12 +197,13 @@ def gathered(blobs: list[bytes], kinds: list[np.dtype]) -> list[np.ndarray]:
 
 
 FLAG, WORD64 = np.dtype(np.uint8), np.dtype(U)
+PIECE, SPOT = [WORD64, WORD64, FLAG], [WORD64, np.dtype(np.uint32), FLAG]
 
 
 def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
     """All grams and pieces of a bucket: by sorting, what each chunk's ones are. Chunks are taken in order, so the first copy is the same in every attempt."""
     group = group.sort_values("chunk")
-    gram, piece, flags = gathered(group["values"].tolist(), [WORD64, WORD64, FLAG])
+    gram, piece, flags = gathered(group["values"].tolist(), PIECE)
     first, of, more = distinct(gram, piece)
     more |= np.bincount(of, flags & 1, len(first)) > 0
     _, g, gs = distinct(gram[first])
@@ -215,7 +218,7 @@ def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
 def answer_windows(group: pd.DataFrame) -> pd.DataFrame:
     """All open windows of a bucket: which occur twice."""
     group = group.sort_values("chunk")
-    value, gram, again = gathered(group["values"].tolist(), [WORD64, np.dtype(np.uint32), FLAG])
+    value, gram, again = gathered(group["values"].tolist(), SPOT)
     _, of, more = distinct(value, gram)
     more |= np.bincount(of, again, len(more)) > 0
     return replies(group, more[of].astype(np.uint8), 13)
@@ -226,6 +229,34 @@ def replies(group: pd.DataFrame, code: np.ndarray, width: int) -> pd.DataFrame:
     return pd.DataFrame({"chunk": group.chunk, "bucket": group.bucket, "codes": [zstandard.compress(code[s:e].tobytes(), 1) for s, e in zip([0, *ends], ends)]})
 
 
+def settled(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], kinds: list[np.dtype], chunks: int) -> DataFrame:
+    """The answers to all chunks. kinds: of the two columns that tell values apart, and of the flags."""
+    if chunks <= FAN:
+        return asked.groupBy("bucket").applyInPandas(answer, ANSWER)
+    parts = -(-chunks // FAN)
+    asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))))
+
+    def condense(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, flags = gathered(group.sort_values("chunk")["values"].tolist(), kinds)
+        first, of, more = distinct(a, b)
+        again, often = more | (np.bincount(of, flags & 1, len(first)) > 0), np.bincount(of, flags > 1, len(first)) > 0
+        columns = a[first], b[first], again.astype(np.uint8) + 2 * often.astype(np.uint8)
+        return pd.DataFrame({"bucket": group.bucket[:1], "chunk": group.part[:1], "values": [b"".join(c.tobytes() for c in columns)]})
+
+    def spread(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        a, b, _ = gathered(group["values"].tolist(), kinds)
+        first, of, _ = distinct(a, b)
+        mine = np.frombuffer(zstandard.decompress(answers.codes.iloc[0]), np.uint8)
+        code = np.where(mine == FIRST, AGAIN, mine).astype(np.uint8)[of]
+        code[first[mine == FIRST]] = FIRST
+        return replies(group, code, sum(k.itemsize for k in kinds))
+
+    condensed = settled(asked.groupBy("bucket", "part").applyInPandas(condense, ASKED), answer, kinds, parts)
+    condensed = condensed.withColumnRenamed("chunk", "part")
+    return asked.groupBy("bucket", "part").cogroup(condensed.groupBy("bucket", "part")).applyInPandas(spread, ANSWER)
+
+
 def told(answers: list | None) -> np.ndarray:
     """The codes of a chunk, in the order of its values."""
     parts = sorted((a["bucket"], a["codes"]) for a in answers or ())
@@ -268,7 +299,8 @@ class Corpus:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows.write.option("path", f"{shared_dir(spark)}/t").option("compression", "none").bucketBy(n, "chunk").saveAsTable(self.name)
         self.table = spark.table(self.name)
-        self.size = self.table.agg(F.sum("size")).first()[0] or 0
+        whole = self.table.agg(F.sum("size").alias("size"), F.count("*").alias("chunks")).first()
+        self.size, self.chunks = whole["size"] or 0, whole["chunks"]
 
     def ask(self, rows: DataFrame, fn: Callable, extra: list[str]) -> DataFrame:
         """Run fn(chunk, texts, *extra) over the chunks; it yields rows (bucket, chunk, values)."""
@@ -364,10 +396,10 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
         *_, value, gram, (first, _, again) = c.open_windows(c.codes(answers, many))
         yield from dealt(chunk, bucket_of(value[first], wide), [value[first], gram[first], again.astype(np.uint8)])
 
-    first = corpus.ask(corpus.table, ask_pieces, []).groupBy("bucket").applyInPandas(answer_pieces, ANSWER)
+    first = settled(corpus.ask(corpus.table, ask_pieces, []), answer_pieces, PIECE, corpus.chunks)
     first = materialize(corpus.collect(first, "pieces"))
     rows = corpus.table.join(first, "chunk", "left")
-    second = corpus.ask(rows, ask_windows, ["pieces"]).groupBy("bucket").applyInPandas(answer_windows, ANSWER)
+    second = settled(corpus.ask(rows, ask_windows, ["pieces"]), answer_windows, SPOT, corpus.chunks)
     rows = rows.join(corpus.collect(second, "windows"), "chunk", "left")
     names = [f.split()[0] for f in schema.split(", ")]
 

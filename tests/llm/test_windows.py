@@ -73,6 +73,17 @@ def test_bytes_against_brute_force(spark, seed):
     assert got(substrings.remove_substrings(frame(spark, docs))) == brute_bytes(docs)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_parts_of_the_chunks_against_brute_force(spark, seed, monkeypatch):
+    """Small chunks, of which a bucket hears three at most, so that answers pass through several levels."""
+    monkeypatch.setattr(windows, "FAN", 3)
+    monkeypatch.setattr(windows, "CHUNK_BYTES", 900)
+    docs = planted(seed, letters)
+    assert got(substrings.remove_substrings(frame(spark, docs))) == brute_bytes(docs)
+    docs = planted(seed, words)
+    assert got(phrases.remove_phrases(frame(spark, docs))) == brute_words(docs)
+
+
 @pytest.mark.parametrize("seed", [2, 3])
 def test_words_against_brute_force(spark, seed):
     docs = planted(seed, words)
