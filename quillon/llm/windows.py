@@ -341,25 +341,31 @@ class Chunk:
         self.piece = np.concatenate([p.piece for p in self.parts] or [none])
         self.first, self.of, self.again = distinct(self.gram, self.piece)
 
-    def questions(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct pieces in the order they are asked in, their buckets and flags.
+    def questions(self, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The order of the questions, their buckets, and (gram, piece, flags) of each.
 
-        A gram that the chunk has once meets its like in the gram's bucket, at most once a chunk. One that it has more
-        often is known to be repeated, and its pieces are dealt by themselves, so a gram with contexts without end
-        fills no bucket. A piece that comes both ways is at worst compared window by window.
+        Distinct pieces come first. A gram that the chunk has once meets its like in the gram's bucket, at most once a
+        chunk. One that it has more often is known to be repeated, and its pieces are dealt by themselves, so a gram
+        with contexts without end fills no bucket; a further entry tells the gram's bucket that it is repeated. A
+        piece that comes both ways is compared window by window.
         """
         gram, piece = self.gram[self.first], self.piece[self.first]
-        _, g, more = distinct(gram)
-        often = (more | (np.bincount(g, self.again, len(more)) > 0))[g] if len(gram) else np.zeros(0, dtype=bool)
-        bucket = bucket_of(np.where(often, piece, gram), buckets)
+        places, g, more = distinct(gram)
+        many = more | (np.bincount(g, self.again, len(more)) > 0)
+        often = many[g]
+        marks = gram[places[many]]
+        bucket = bucket_of(np.concatenate([np.where(often, piece, gram), marks]), buckets)
+        gram, piece = np.concatenate([gram, marks]), np.concatenate([piece, np.zeros(len(marks), U)])
+        flags = np.concatenate([self.again + 2 * often.astype(np.uint8), np.full(len(marks), 2)]).astype(np.uint8)
         order = np.lexsort((piece, gram, bucket))
-        return order, bucket[order], (self.again + 2 * often.astype(np.uint8)).astype(np.uint8)[order]
+        return order, bucket[order], [gram[order], piece[order], flags[order]]
 
     def codes(self, answers: list | None, buckets: int) -> list[np.ndarray]:
         """By block the codes of its pieces."""
-        mine = np.zeros(len(self.first), np.uint8)
+        order = self.questions(buckets)[0]
+        mine = np.zeros(len(order), np.uint8)
         if len(mine):
-            mine[self.questions(buckets)[0]] = told(answers)
+            mine[order] = told(answers)
         flat = mine[self.of] if len(self.of) else np.zeros(0, np.uint8)
         cuts = np.cumsum([len(p.gram) for p in self.parts])[:-1]
         return np.split(flat, cuts) if self.parts else []
@@ -388,8 +394,8 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
 
     def ask_pieces(chunk: int, texts: list[bytes]):
         c = Chunk(texts, scheme)
-        order, bucket, flags = c.questions(many)
-        yield from dealt(chunk, bucket, [c.gram[c.first][order], c.piece[c.first][order], flags])
+        _, bucket, columns = c.questions(many)
+        yield from dealt(chunk, bucket, columns)
 
     def ask_windows(chunk: int, texts: list[bytes], answers):
         c = Chunk(texts, scheme)
