@@ -43,6 +43,9 @@ WEAK_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+|(?i:\b(?:end
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
 
+#: How identifiers begin that need no sign after a name.
+BARE_ID = ("AKIA", "ASIA", "AGPA", "AIDA", "AROA")
+
 Span = tuple[str, int, int]
 
 
@@ -66,7 +69,8 @@ def random_looking(value: str) -> bool:
 
 def weak_parts(text: str) -> list[Span]:
     out: list[Span] = []
-    if not ("=" in text or ":" in text):
+    # without a sign there are no endpoints and only bare identifiers, and nothing is linked where there is neither
+    if not ("=" in text or ":" in text or any(p in text for p in BARE_ID)):
         return out
     for m in WEAK_ID.finditer(text):
         out.append(("weak_id", m.start(), m.end()))
