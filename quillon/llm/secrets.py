@@ -5,7 +5,8 @@ an access identifier (key ids, client ids, user names), a secret (a random-looki
 an endpoint (URL with a host, connection string, host:port). Parts of different roles are joined when their
 intervals lie within REACH characters of each other inside one scope, a block of lines between blank lines. A weak
 candidate is reported only in such company: a secret with an identifier or an endpoint that itself stands with an
-identifier; an identifier or an endpoint with a secret. Base spans take part as the roles they have.
+identifier; an identifier with a secret or an endpoint that itself stands with a secret; an endpoint with a secret that
+is reported. Base spans take part as the roles they have.
 
 A scope belongs to one document, so the join runs document by document as a sorted interval join (bisection over
 starts), in O(n log n) for n parts and without a shuffle.
@@ -88,6 +89,11 @@ def near(span: Span, others: list[Span], starts: list[int], longest: int, reach:
     return any(others[i][2] >= span[1] - reach for i in range(lo, hi))
 
 
+def index(spans: list[Span], reach: int) -> tuple[list[Span], list[int], int, int]:
+    """What near() asks for of the spans, sorted by start."""
+    return spans, [s[1] for s in spans], max((s[2] - s[1] for s in spans), default=0), reach
+
+
 def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """The weak candidates that complementary parts support."""
     weak = weak_parts(text)
@@ -113,19 +119,14 @@ def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
                 own.append(s)
         if not roles["secret"] or not (roles["id"] or roles["endpoint"]):
             continue
-        at = {k: (v, [s[1] for s in v], max((s[2] - s[1] for s in v), default=0), reach) for k, v in roles.items()}
-        for role, spans in roles.items():
-            for s in spans:
-                if not s[0].startswith("weak"):
-                    continue
-                if role == "secret":
-                    ok = near(s, *at["id"])
-                elif role == "id":
-                    ok = near(s, *at["secret"])
-                else:
-                    ok = near(s, *at["secret"]) and near(s, *at["id"])
-                if ok:
-                    out.append(s)
+        ids, secrets = index(roles["id"], reach), index(roles["secret"], reach)
+        id_ends = index([s for s in roles["endpoint"] if near(s, *ids)], reach)
+        secret_ends = index([s for s in roles["endpoint"] if near(s, *secrets)], reach)
+        sure = [s for s in roles["secret"] if not s[0].startswith("weak") or near(s, *ids) or near(s, *id_ends)]
+        told = index(sure, reach)
+        out += [s for s in roles["id"] if s[0].startswith("weak") and (near(s, *secrets) or near(s, *secret_ends))]
+        out += [s for s in sure if s[0].startswith("weak")]
+        out += [s for s in roles["endpoint"] if near(s, *told)]
     return out
 
 
