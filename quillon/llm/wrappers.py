@@ -20,13 +20,14 @@ elements only whether some are no part of an article counts; an empty table give
 
 from __future__ import annotations
 
-import difflib
 import html
 import json
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -39,9 +40,8 @@ from .common import materialize, prepare
 #: Parts of a host at each level of merging: of streams by form and task, then by form, then by its remainders.
 SPREAD = 64
 LEVELS = (4096, 64, 1)
-#: Sides whose product is larger are aligned at their ends alone.
-ALIGNED = 1 << 20
 BROADCAST = 8 << 20
+MASKS = 16 << 20
 FLUSH = 5000
 LONGEST_UNIT = 24
 DEEPEST = 60
@@ -257,17 +257,74 @@ def core(item: Item) -> tuple[str, ...]:
     return tuple(map(key, item[1])) if item[0] in "+?" else (key(item),)
 
 
+def common(ka: list, kb: list) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of positions, one method for all lengths.
+
+    A row of the table of lengths is one number with a bit for each of kb: 0 where the length grows. Of the rows every
+    nth is kept, n a root of their number, and those between are made again; of the keys' bits at most MASKS bytes.
+    """
+    places: dict = {}
+    for j, k in enumerate(kb):
+        places.setdefault(k, []).append(j)
+    size = len(kb) + 7 >> 3
+    full = (1 << len(kb)) - 1
+
+    @lru_cache(MASKS // size + 1)
+    def mask(k: tuple[str, ...]) -> int:
+        bits = bytearray(size)
+        for j in places[k]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    def table(part: list, row: int) -> Iterator[int]:
+        for k in part:
+            if k in places:
+                hit = row & mask(k)
+                row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    step = math.isqrt(len(ka)) + 1
+    kept = [full]
+    for at in range(0, len(ka) - step, step):
+        for row in table(ka[at : at + step], kept[-1]):
+            pass
+        kept.append(row)
+    out: list[tuple[int, int]] = []
+    j = len(kb)
+    for n in range(len(kept) - 1, -1, -1):
+        rows = [kept[n], *table(ka[n * step : (n + 1) * step], kept[n])]
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    j -= 1
+                    out.append((n * step + i, j))
+    return out[::-1]
+
+
 def matched(ka: list, kb: list) -> list[tuple[str, int, int, int, int]]:
-    """Which stretches of two lists of keys are equal. Lists too long to compare throughout are aligned from their ends, what lies between them being different."""
-    if ka == kb:
-        return [("equal", 0, len(ka), 0, len(kb))]
-    if len(ka) * len(kb) <= ALIGNED:
-        return difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes()
+    """Which stretches of two lists of keys are equal, by a longest common subsequence."""
     least = min(len(ka), len(kb))
     head = next((i for i in range(least) if ka[i] != kb[i]), least)
     tail = next((i for i in range(least - head) if ka[-1 - i] != kb[-1 - i]), least - head)
-    i, j = len(ka) - tail, len(kb) - tail
-    return [("equal", 0, head, 0, head), ("replace", head, i, head, j), ("equal", i, len(ka), j, len(kb))]
+    i, k = len(ka) - tail, len(kb) - tail
+    pairs = [(head + x, head + y) for x, y in common(ka[head:i], kb[head:k])] if head < i and head < k else []
+    out: list[tuple[str, int, int, int, int]] = []
+    a = b = 0
+    for x, y in [*((n, n) for n in range(head)), *pairs, *((i + n, k + n) for n in range(tail))]:
+        if (x, y) == (a, b) and out and out[-1][0] == "equal":
+            out[-1] = ("equal", out[-1][1], x + 1, out[-1][3], y + 1)
+        else:
+            if (x, y) != (a, b):
+                out.append(("replace", a, x, b, y))
+            out.append(("equal", x, x + 1, y, y + 1))
+        a, b = x + 1, y + 1
+    if (a, b) != (len(ka), len(kb)):
+        out.append(("replace", a, len(ka), b, len(kb)))
+    return out
 
 
 def align(a: list[Item], b: list[Item]) -> list[Item]:

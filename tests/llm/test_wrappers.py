@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -73,6 +74,38 @@ def test_long_streams_are_aligned_at_their_ends(monkeypatch):
     assert render(merged([stream(Page(p)) for p in pages])) == "<h1> #text </> (<h2> =text </>)? (<pre> =text </>)? (<h3> =text </>)? (<h3> =text </>)? (<h2> =text </>)? <p> =text </>"
 
 
+def word(n):
+    return "qz" + "".join(chr(97 + n // 26**i % 26) for i in range(4))
+
+
+def test_what_long_pages_share_is_found_between_their_ends():
+    def long(i):
+        parts = [f"<div class={word(i * 2000 + j)}>Text {i} {j} that no other page has</div>" for j in range(1200)]
+        return "<body>" + "".join(parts[:600]) + "<blockquote>The same on all pages</blockquote>" + "".join(parts[600:]) + "</body>"
+
+    pages = [Page(long(i)) for i in range(4)]
+    told = verdict(merged([stream(p) for p in pages]))
+    got = main_text(pages[1], told)
+    assert "The same" not in got and got.count("Text 1") == 1200
+
+
+def test_alignment_against_plain_table(monkeypatch):
+    r = random.Random(4)
+    for n in range(400):
+        monkeypatch.setattr(wrappers, "MASKS", r.choice([0, 4, 1 << 20]))
+        a, b = ([(r.choice("abcde"[: r.randint(1, 5)]),) for _ in range(r.randint(0, 40))] for _ in "ab")
+        ops = wrappers.matched(a, b)
+        assert [x for o, i, j, _, _ in ops for x in a[i:j]] == a and [x for o, _, _, k, m in ops for x in b[k:m]] == b
+        assert all(a[i:j] == b[k:m] for o, i, j, k, m in ops if o == "equal")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert sum(j - i for o, i, j, _, _ in ops if o == "equal") == row[-1]
+
+
 def test_merging_by_levels_gives_the_same(spark, monkeypatch):
     html = [page(*(f"Sentence {i} {j} with words." for j in range(i % 5 + 1)), extra="<table><tr><td>x</table>" * (i % 3)) for i in range(60)]
     df = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(7)
