@@ -19,9 +19,11 @@ the smallest id; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,24 +93,37 @@ def links(points: DataFrame) -> DataFrame:
     return out
 
 
+def rooted(rows: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint of the rows, what least says of its rows, and its component."""
+    points = materialize(rows.groupBy("fp").agg(least.alias("least")))
+    roots = connected_components(links(points.select("fp")))
+    return materialize(points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
     prepare(docs.sparkSession)
     rows = materialize(per_text(id_text(docs, id_col, text_col), lambda texts: [fingerprints(texts).view(np.int64)], "doc_id long, fp long"))
-    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(points.select("fp")))
-    linked = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked)
+    linked = rooted(rows, F.min("doc_id"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near-duplicates: of each group the document of the smallest id, once."""
-    groups = simhash_groups(docs, id_col, text_col)
-    # null ids meet through a flag, so that one shuffle by id serves the join and the removal of repeated rows
-    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_none"))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct()
-    rows = docs.select("*", *key(F.col(id_col).cast("long")))
-    return rows.join(stay, ["_id", "_none"], "left_semi").dropDuplicates(["_id", "_none", text_col]).select(*docs.columns)
+    """The input rows without near-duplicates: of each group one row, that of the smallest id, null ids last, and of rows of that id the one whose text has the smallest SHA-256, null first."""
+    prepare(docs.sparkSession)
+    number, digest = F.col(id_col).cast("long"), F.coalesce(F.sha2(text_col, 256), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array(fingerprints(batch.column(2).to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "digest", "fp"])
+
+    texts = docs.select(number.alias("doc_id"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialize(texts.mapInArrow(run, "doc_id long, digest string, fp long"))
+    # a row is known by its id, whether that is null, and its text's digest, so one shuffle serves the join and the removal of repeated rows
+    key = lambda i, d: (F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_none"), d.alias("_digest"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    stay = rooted(rows, least).groupBy("root").agg(F.min("least").alias("least")).select(*key(F.col("least.doc_id"), F.col("least.digest"))).distinct()
+    return docs.select("*", *key(number, digest)).join(stay, ["_id", "_none", "_digest"], "left_semi").dropDuplicates(["_id", "_none", "_digest"]).select(*docs.columns)

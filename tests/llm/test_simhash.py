@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -84,3 +85,16 @@ def test_edges_and_keeping_one(spark, docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5]
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(400)) for w in ("alpha", "beta", "gamma", "delta", "omega")]
+    a, b, c, d, e = texts
+    rows = [(None, a), (None, a + " x"), (None, b), (1, b + " x"), (7, c), (7, d), (3, d + " x"), (7, e), (7, e + " x"), (7, e), (8, e + " y")]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    fps = [fp_brute(t) for _, t in rows]
+    groups = components(fps)
+    assert len(set(groups)) == 5 and len(kept) == 5
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+    want = [min((r for r, g in zip(rows, groups) if g == k), key=order) for k in set(groups)]
+    assert sorted(kept, key=order) == sorted(want, key=order)
