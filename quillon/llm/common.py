@@ -67,13 +67,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_quillon_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(df.sparkSession, path.rsplit("/", 1)[0])
 
 
 def per_text(df: DataFrame, fn: Callable[[list[str]], Sequence], schema: str) -> DataFrame:

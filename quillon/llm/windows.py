@@ -9,6 +9,9 @@ leftmost of equals. Runs of windows with the same sampled gram form a piece. Nam
    settles all its windows at once; one of its copies still goes on, for the others to be compared with.
 2. the windows left, at the edges of repeated passages, are dealt by their own hash, sorted and compared.
 
+3. what recurs is then known by window. Operator 6 removes what those windows cover; operator 9 makes phrases of them
+   and leaves the rest to automata (phrases.py).
+
 Every chunk of documents sends each distinct value once, so a value that fills the corpus costs one entry a chunk, and
 gets its answer back in the order it asked in: positions are never shuffled. A bucket hears FAN chunks at most: where
 there are more, parts of the chunks condense what they ask to distinct values, and hand the answers on. Text is written once, as compressed
@@ -19,6 +22,7 @@ Windows are told apart by 96 bits: a 64-bit hash of theirs and 32 bits of their
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,12 +31,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, prepare, shared_dir
+from .common import id_text, materialize, prepare, remove, shared_dir
 
 CHUNK_BYTES = 2 << 20
+#: What a row counts for besides its text, so that rows without text fill chunks too.
+ROW_BYTES = 64
+TASK_BYTES = 16 << 20
+WIDE = 16 << 30
 BLOCK_UNITS = 1 << 19
 SEGMENT = 1 << 22
 INDEX_BITS = 24
@@ -131,12 +140,11 @@ def pieces(values: np.ndarray, sizes: list[int], size: int, gram: int) -> Pieces
 
 @dataclass(frozen=True)
 class Scheme:
-    """units: the values of a text's units; size and gram in units; confirm: by block, which pieces of a repeated gram are in truth, or None to take them all."""
+    """units: the values of a text's units; size and gram in units."""
 
     units: Callable[[bytes], np.ndarray]
     size: int
     gram: int
-    confirm: Callable[[list[np.ndarray], list[Pieces], list[np.ndarray], int], list[np.ndarray]] | None = None
 
 
 def blocks(texts: list[bytes], scheme: Scheme) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
@@ -200,7 +208,27 @@ FLAG, WORD64 = np.dtype(np.uint8), np.dtype(U)
 PIECE, SPOT = [WORD64, WORD64, FLAG], [WORD64, np.dtype(np.uint32), FLAG]
 
 
-def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
+def held_by(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value asked for the first and the last chunk that has it, as far as the rows know: a chunk itself, or what parts of the chunks noted."""
+    low, high = [], []
+    for chunk, blob, noted in zip(group.chunk, group["values"], group.holders):
+        n = len(blob) // width
+        x = np.frombuffer(noted, np.int64).reshape(2, n) if noted is not None else np.full((2, n), chunk, np.int64)
+        low.append(x[0])
+        high.append(x[1])
+    return np.concatenate(low), np.concatenate(high)
+
+
+def extremes(group: pd.DataFrame, width: int, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n distinct values the first and last chunk."""
+    low, high = held_by(group, width)
+    first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
+    np.minimum.at(first, of, low)
+    np.maximum.at(last, of, high)
+    return first, last
+
+
+def answer_pieces(group: pd.DataFrame, tell: bool) -> pd.DataFrame:
     """All grams and pieces of a bucket: by sorting, what each chunk's ones are. Chunks are taken in order, so the first copy is the same in every attempt."""
     group = group.sort_values("chunk")
     gram, piece, flags = gathered(group["values"].tolist(), PIECE)
@@ -212,36 +240,45 @@ def answer_pieces(group: pd.DataFrame) -> pd.DataFrame:
     code = np.where(repeated, np.where(more, AGAIN, ALONE), NONE).astype(np.uint8)[of]
     lead = first[more & repeated]
     code[lead] = FIRST
-    return replies(group, code, 17)
+    return replies(group, code, 17, [x[of] for x in extremes(group, 17, of, len(first))] if tell else None)
 
 
-def answer_windows(group: pd.DataFrame) -> pd.DataFrame:
+def answer_windows(group: pd.DataFrame, tell: bool) -> pd.DataFrame:
     """All open windows of a bucket: which occur twice."""
     group = group.sort_values("chunk")
     value, gram, again = gathered(group["values"].tolist(), SPOT)
     _, of, more = distinct(value, gram)
     more |= np.bincount(of, again, len(more)) > 0
-    return replies(group, more[of].astype(np.uint8), 13)
+    return replies(group, more[of].astype(np.uint8), 13, [x[of] for x in extremes(group, 13, of, len(more))] if tell else None)
 
 
-def replies(group: pd.DataFrame, code: np.ndarray, width: int) -> pd.DataFrame:
+def replies(group: pd.DataFrame, code: np.ndarray, width: int, holders: list[np.ndarray] | None) -> pd.DataFrame:
+    """The codes of each row's values and, where wanted, their first and last chunk, of values that occur once 0."""
     ends = np.cumsum([len(b) // width for b in group["values"]]).tolist()
-    return pd.DataFrame({"chunk": group.chunk, "bucket": group.bucket, "codes": [zstandard.compress(code[s:e].tobytes(), 1) for s, e in zip([0, *ends], ends)]})
+    cuts = list(zip([0, *ends], ends))
+    noted: list[bytes | None] = [None] * len(cuts)
+    if holders is not None:
+        low, high = (np.where(code != NONE, x, 0) for x in holders)
+        noted = [zstandard.compress(low[s:e].tobytes() + high[s:e].tobytes(), 1) for s, e in cuts]
+    return pd.DataFrame({"chunk": group.chunk, "bucket": group.bucket, "codes": [zstandard.compress(code[s:e].tobytes(), 1) for s, e in cuts], "holders": noted})
 
 
-def settled(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], kinds: list[np.dtype], chunks: int) -> DataFrame:
-    """The answers to all chunks. kinds: of the two columns that tell values apart, and of the flags."""
+def settled(asked: DataFrame, answer: Callable[[pd.DataFrame, bool], pd.DataFrame], kinds: list[np.dtype], chunks: int, tell: bool) -> DataFrame:
+    """The answers to all chunks. kinds: of the two columns that tell values apart, and of the flags; tell: also which chunks have a value."""
     if chunks <= FAN:
-        return asked.groupBy("bucket").applyInPandas(answer, ANSWER)
+        return asked.groupBy("bucket").applyInPandas(lambda group: answer(group, tell), ANSWER)
     parts = -(-chunks // FAN)
+    width = sum(k.itemsize for k in kinds)
     asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))))
 
     def condense(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, flags = gathered(group.sort_values("chunk")["values"].tolist(), kinds)
+        group = group.sort_values("chunk")
+        a, b, flags = gathered(group["values"].tolist(), kinds)
         first, of, more = distinct(a, b)
         again, often = more | (np.bincount(of, flags & 1, len(first)) > 0), np.bincount(of, flags > 1, len(first)) > 0
         columns = a[first], b[first], again.astype(np.uint8) + 2 * often.astype(np.uint8)
-        return pd.DataFrame({"bucket": group.bucket[:1], "chunk": group.part[:1], "values": [b"".join(c.tobytes() for c in columns)]})
+        noted = b"".join(x.tobytes() for x in extremes(group, width, of, len(first)))
+        return pd.DataFrame({"bucket": group.bucket[:1], "chunk": group.part[:1], "values": [b"".join(c.tobytes() for c in columns)], "holders": [noted]})
 
     def spread(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
@@ -250,9 +287,10 @@ def settled(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], ki
         mine = np.frombuffer(zstandard.decompress(answers.codes.iloc[0]), np.uint8)
         code = np.where(mine == FIRST, AGAIN, mine).astype(np.uint8)[of]
         code[first[mine == FIRST]] = FIRST
-        return replies(group, code, sum(k.itemsize for k in kinds))
+        noted = np.frombuffer(zstandard.decompress(answers.holders.iloc[0]), np.int64).reshape(2, -1)[:, of] if tell else None
+        return replies(group, code, width, noted)
 
-    condensed = settled(asked.groupBy("bucket", "part").applyInPandas(condense, ASKED), answer, kinds, parts)
+    condensed = settled(asked.groupBy("bucket", "part").applyInPandas(condense, ASKED), answer, kinds, parts, tell)
     condensed = condensed.withColumnRenamed("chunk", "part")
     return asked.groupBy("bucket", "part").cogroup(condensed.groupBy("bucket", "part")).applyInPandas(spread, ANSWER)
 
@@ -263,61 +301,116 @@ def told(answers: list | None) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(c) for _, c in parts), np.uint8)
 
 
-ASKED = "bucket long, chunk long, values binary"
-ANSWER = "chunk long, bucket long, codes binary"
+def elsewhere(answers: list | None, chunk: int) -> np.ndarray:
+    """In the same order a chunk that has the value, another one than this if there is such."""
+    parts = sorted((a["bucket"], a["holders"]) for a in answers or ())
+    both = [np.frombuffer(zstandard.decompress(h), np.int64).reshape(2, -1) for _, h in parts]
+    low, high = np.concatenate(both, axis=1) if both else np.zeros((2, 0), np.int64)
+    return np.where(low != chunk, low, high)
+
+
+ASKED = "bucket long, chunk long, values binary, holders binary"
+ANSWER = "chunk long, bucket long, codes binary, holders binary"
+
+
+def tasks(size: int, least: int) -> int:
+    """Tasks for so many bytes of text: TASK_BYTES each, and more beyond WIDE bytes, by the root of how much, so that their number stays in hand."""
+    return max(least, math.ceil(size / (TASK_BYTES * max(1.0, math.sqrt(size / WIDE)))))
+
+
+def spark_hash(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """What Spark's hash() gives for longs, by which bucketed tables and shuffles deal rows."""
+    x = x.astype(np.int64)
+    rotate = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    h = np.full(len(x), seed, np.uint32)
+    for half in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
+        k = rotate(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotate(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def numbers(task: int, parts: int) -> Iterator[tuple[int, int]]:
+    """Chunk numbers of a task with their buckets, for ever. A task fills few buckets, of which tasks in a row begin evenly apart; send(True) moves on to the next one."""
+    at, bucket = task << 33, int(task * 0.6180339887498949 % 1 * parts)
+    while True:
+        ahead = np.arange(at, at + 4 * parts + 64)
+        for hit in ahead[spark_hash(ahead) % parts == bucket].tolist():
+            at = hit + 1
+            if (yield hit, bucket):
+                bucket = (bucket + 1) % parts
+                break
+        else:
+            at = int(ahead[-1]) + 1
 
 
 class Corpus:
-    """The documents as compressed chunks in shared storage, bucketed by chunk."""
+    """The documents as compressed chunks in shared storage, bucketed by chunk. close() takes the table out of the catalog and its files away."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         spark = prepare(docs.sparkSession)
+        rows = id_text(docs, id_col, text_col)
+        whole = rows.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size")).first()
+        self.tasks = parts = tasks(whole["size"] or 0, spark.sparkContext.defaultParallelism)
+        self.size = whole["size"] or 0
 
         def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids: list = []
             texts: list[bytes] = []
-            held = 0
+            held = filled = 0
+            numbered = numbers(TaskContext.get().partitionId(), parts)
+            chunk = next(numbered)[0]
 
             def out() -> pa.RecordBatch:
                 raw = zstandard.compress(b"".join(texts), 3)
-                return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([raw], pa.binary())], ["ids", "lengths", "size", "raw"])
+                return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([raw], pa.binary()), pa.array([chunk], pa.int64())], ["ids", "lengths", "raw", "chunk"])
 
             for batch in batches:
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                     ids.append(i)
                     texts.append(t)
-                    held += len(t)
+                    held += len(t) + ROW_BYTES
                     if held >= CHUNK_BYTES:
                         yield out()
+                        filled += held
+                        chunk = numbered.send(filled >= TASK_BYTES // 2)[0]
+                        filled %= TASK_BYTES // 2
                         ids, texts, held = [], [], 0
             if ids:
                 yield out()
 
-        rows = id_text(docs, id_col, text_col).mapInArrow(bundle, "ids array<long>, lengths array<long>, size long, raw binary")
-        rows = rows.withColumn("chunk", F.monotonically_increasing_id())
+        chunks = rows.mapInArrow(bundle, "ids array<long>, lengths array<long>, raw binary, chunk long")
         self.name = f"quillon_{uuid.uuid4().hex}"
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.write.option("path", f"{shared_dir(spark)}/t").option("compression", "none").bucketBy(n, "chunk").saveAsTable(self.name)
+        self.path = shared_dir(spark)
+        chunks.write.option("path", f"{self.path}/t").option("compression", "none").bucketBy(parts, "chunk").saveAsTable(self.name)
         self.table = spark.table(self.name)
-        whole = self.table.agg(F.sum("size").alias("size"), F.count("*").alias("chunks")).first()
-        self.size, self.chunks = whole["size"] or 0, whole["chunks"]
+        self.chunks = self.table.count()
+
+    def close(self) -> None:
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(spark, self.path)
 
     def ask(self, rows: DataFrame, fn: Callable, extra: list[str]) -> DataFrame:
-        """Run fn(chunk, texts, *extra) over the chunks; it yields rows (bucket, chunk, values)."""
+        """Run fn(chunk, texts, *extra) over the chunks; it yields rows (bucket, chunk, values), which are dealt by bucket."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     got = list(fn(batch.column("chunk")[i].as_py(), unpack(batch, i), *(batch.column(c)[i].as_py() for c in extra)))
                     b, c, v = zip(*got) if got else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary())], ["bucket", "chunk", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary()), pa.nulls(len(b), pa.binary())], ["bucket", "chunk", "values", "holders"])
 
-        return rows.select("chunk", "lengths", "raw", *extra).mapInArrow(run, ASKED)
+        return rows.select("chunk", "lengths", "raw", *extra).mapInArrow(run, ASKED).repartition(self.tasks, "bucket")
 
-    @staticmethod
-    def collect(answers: DataFrame, name: str) -> DataFrame:
-        """One row a chunk: as many answers as it asked buckets, so no more than its values."""
-        return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias(name))
+    def collect(self, answers: DataFrame, name: str) -> DataFrame:
+        """One row a chunk: as many answers as it asked buckets, so no more than its values. Dealt as the chunks are, so they meet without moving text."""
+        return answers.repartition(self.tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*(c for c in answers.columns if c != "chunk"))).alias(name))
+
+    def with_answers(self, rows: DataFrame, collected: DataFrame) -> DataFrame:
+        return rows.join(collected.repartition(self.tasks, "chunk"), "chunk", "left")
 
 
 def unpack(batch: pa.RecordBatch, i: int) -> list[bytes]:
@@ -330,12 +423,10 @@ class Chunk:
     """One chunk's pieces, in the same order in every pass."""
 
     def __init__(self, texts: list[bytes], scheme: Scheme):
-        self.scheme, self.segments, self.parts, self.values = scheme, [], [], []
+        self.scheme, self.segments, self.parts = scheme, [], []
         for held, values in blocks(texts, scheme):
             self.segments.append(held)
             self.parts.append(pieces(values, [n for _, _, n in held], scheme.size, scheme.gram))
-            if scheme.confirm:
-                self.values.append(values)
         none = np.zeros(0, U)
         self.gram = np.concatenate([p.gram for p in self.parts] or [none])
         self.piece = np.concatenate([p.piece for p in self.parts] or [none])
@@ -360,16 +451,19 @@ class Chunk:
         order = np.lexsort((piece, gram, bucket))
         return order, bucket[order], [gram[order], piece[order], flags[order]]
 
-    def codes(self, answers: list | None, buckets: int) -> list[np.ndarray]:
-        """By block the codes of its pieces."""
-        order = self.questions(buckets)[0]
-        mine = np.zeros(len(order), np.uint8)
+    def by_block(self, told: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        """What is told in the order of the questions, by block for its pieces."""
+        mine = np.zeros(len(order), told.dtype)
         if len(mine):
-            mine[order] = told(answers)
-        flat = mine[self.of] if len(self.of) else np.zeros(0, np.uint8)
+            mine[order] = told
+        flat = mine[self.of] if len(self.of) else mine[:0]
         cuts = np.cumsum([len(p.gram) for p in self.parts])[:-1]
         return np.split(flat, cuts) if self.parts else []
 
+    def codes(self, answers: list | None, buckets: int) -> list[np.ndarray]:
+        """By block the codes of its pieces."""
+        return self.by_block(told(answers), self.questions(buckets)[0])
+
     def open_windows(self, codes: list[np.ndarray]):
         """Starts, blocks and pieces of the windows to compare, their hashes and those of their grams, and distinct() of both."""
         starts, where, owner, gram, value = [], [], [], [], []
@@ -384,10 +478,32 @@ class Chunk:
         gram, value = cat(gram, np.uint32), cat(value, U)
         return cat(starts, np.int32), cat(where, np.int32), cat(owner, np.int32), value, gram, distinct(value, gram)
 
-
-def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.ndarray], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, then finish(text, mask of units that repeated windows cover)."""
-    corpus = Corpus(docs, id_col, text_col)
+    def recurring(self, answers: list | None, wide_answers: list | None, buckets: int, chunk: int | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """By block, at which units a window starts that occurs twice or more in the corpus; given the chunk's number also a chunk that has it, another one if there is such."""
+        codes = self.codes(answers, buckets)
+        starts, where, _, _, _, (_, of, _) = self.open_windows(codes)
+        bits = told(wide_answers)
+        hit = bits[of] == 1 if len(of) else np.zeros(0, dtype=bool)
+        if chunk is not None:
+            piece_at, window_at = self.by_block(elsewhere(answers, chunk), self.questions(buckets)[0]), elsewhere(wide_answers, chunk)
+        out = []
+        for b, (held, p, code) in enumerate(zip(self.segments, self.parts, codes)):
+            on = np.zeros(sum(n for *_, n in held), dtype=bool)
+            at, of_piece = p.windows(np.nonzero(code >= FIRST)[0])
+            on[at] = True
+            mine = hit & (where == b)
+            on[starts[mine]] = True
+            other = None
+            if chunk is not None:
+                other = np.zeros(len(on), np.int64)
+                other[at] = piece_at[b][of_piece]
+                other[starts[mine]] = window_at[of[mine]]
+            out.append((on, other))
+        return out
+
+
+def asked(corpus: Corpus, scheme: Scheme, tell: bool = False) -> tuple[DataFrame, int]:
+    """The chunks, each with what the corpus answers on its pieces and its open windows, and how many buckets of pieces there are; tell: also which chunks have a value."""
     # 17 bytes for about two pieces in each (size - gram + 2) units; 13 for each window at most
     many = max(1, -(-corpus.size * 34 // ((scheme.size - scheme.gram + 2) * BUCKET_BYTES)))
     wide = max(1, -(-corpus.size * 13 // (4 * BUCKET_BYTES)))
@@ -402,11 +518,18 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
         *_, value, gram, (first, _, again) = c.open_windows(c.codes(answers, many))
         yield from dealt(chunk, bucket_of(value[first], wide), [value[first], gram[first], again.astype(np.uint8)])
 
-    first = settled(corpus.ask(corpus.table, ask_pieces, []), answer_pieces, PIECE, corpus.chunks)
+    first = settled(corpus.ask(corpus.table, ask_pieces, []), answer_pieces, PIECE, corpus.chunks, tell)
     first = materialize(corpus.collect(first, "pieces"))
-    rows = corpus.table.join(first, "chunk", "left")
-    second = settled(corpus.ask(rows, ask_windows, ["pieces"]), answer_windows, SPOT, corpus.chunks)
-    rows = rows.join(corpus.collect(second, "windows"), "chunk", "left")
+    rows = corpus.with_answers(corpus.table, first)
+    second = settled(corpus.ask(rows, ask_windows, ["pieces"]), answer_windows, SPOT, corpus.chunks, tell)
+    second = materialize(corpus.collect(second, "windows"))
+    return corpus.with_answers(rows, second), many
+
+
+def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.ndarray], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, then finish(text, mask of units that repeated windows cover)."""
+    corpus = Corpus(docs, id_col, text_col)
+    rows, many = asked(corpus, scheme)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,22 +537,10 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
             for i in range(batch.num_rows):
                 texts = unpack(batch, i)
                 c = Chunk(texts, scheme)
-                codes = c.codes(batch.column("pieces")[i].as_py(), many)
-                starts, where, owner, _, _, (_, of, _) = c.open_windows(codes)
-                bits = told(batch.column("windows")[i].as_py())
-                hit = bits[of] == 1 if len(of) else np.zeros(0, dtype=bool)
                 masks: dict[int, np.ndarray] = {}
-                sure = scheme.confirm(c.values, c.parts, codes, scheme.gram) if scheme.confirm else [x != NONE for x in codes]
-                for b, (held, p, code) in enumerate(zip(c.segments, c.parts, codes)):
-                    edge = np.zeros(len(p.prefix) + 1, np.int64)
-                    whole = (code >= FIRST) & sure[b]
-                    np.add.at(edge, p.lo[whole], 1)
-                    np.add.at(edge, p.hi[whole] + scheme.size, -1)
-                    mine = hit & (where == b)
-                    mine = starts[mine][sure[b][owner[mine]]]
-                    np.add.at(edge, mine, 1)
-                    np.add.at(edge, mine + scheme.size, -1)
-                    on, at = np.cumsum(edge) > 0, 0
+                for held, (begin, _) in zip(c.segments, c.recurring(batch.column("pieces")[i].as_py(), batch.column("windows")[i].as_py(), many)):
+                    total = np.concatenate([np.zeros(scheme.size, np.int64), np.cumsum(begin)])
+                    on, at = total[scheme.size :] > total[: -scheme.size], 0
                     for d, s, n in held:
                         if d in masks:  # a further segment of a long document
                             old = masks[d]
@@ -444,5 +555,7 @@ def repeated_units(docs: DataFrame, scheme: Scheme, finish: Callable[[bytes, np.
                 columns = list(zip(*got)) if got else [[]] * (len(names) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column("ids")[i].as_py(), pa.int64()), *map(pa.array, columns)], names)
 
-    return rows.select("ids", "lengths", "raw", "pieces", "windows").mapInArrow(close, schema)
-
+    # the result is small, so it is written and the chunks go at once
+    out = materialize(rows.select("ids", "lengths", "raw", "pieces", "windows").mapInArrow(close, schema))
+    corpus.close()
+    return out

@@ -91,6 +91,62 @@ def test_words_against_brute_force(spark, seed):
     assert got(phrases.remove_phrases(frame(spark, docs))) == brute_words(docs)
 
 
+def test_automata_decide(spark, monkeypatch):
+    """Phrases that were suggested wrongly change nothing, as automata find them in one place only; without matches nothing goes."""
+    docs = planted(5, words)
+    want = brute_words(docs)
+    real, size = phrases.recurring_phrases, phrases.SIZE
+
+    def suggest_all(texts, chunk, recurring):
+        out = real(texts, chunk, recurring)
+        for t in texts:
+            w = t.split()
+            for i in range(len(w) - size + 1):
+                p = b" ".join(w[i : i + size])
+                out.setdefault(hashlib.md5(p).digest(), (p, -1))
+        return out
+
+    monkeypatch.setattr(phrases, "recurring_phrases", suggest_all)
+    assert got(phrases.remove_phrases(frame(spark, docs))) == want
+    monkeypatch.setattr(phrases, "recurring_phrases", real)
+    monkeypatch.setattr(phrases, "search", lambda texts, wanted, size: ([np.zeros(len(t), dtype=bool) for t in texts], np.zeros(len(wanted), np.int64)))
+    assert {r[2] for r in got(phrases.remove_phrases(frame(spark, docs)))} == {0} != {r[2] for r in want}
+
+
+def test_small_automata_give_the_same(monkeypatch):
+    r = random.Random(3)
+    texts = [words(r, 300).encode().split() for _ in range(4)]
+    wanted = sorted({b" ".join(t[i : i + 5]) for t in texts for i in range(0, 290, 3)})
+    whole = phrases.search(texts, wanted, 5)
+    monkeypatch.setattr(phrases, "NODES", 50)
+    parts = phrases.search(texts, wanted, 5)
+    assert (whole[1] == parts[1]).all() and all((a == b).all() for a, b in zip(whole[0], parts[0]))
+    assert whole[1].tolist() == [sum(b" ".join(t[i : i + 5]) == p for t in texts for i in range(len(t) - 4)) for p in wanted]
+
+
+def test_rows_without_text_fill_chunks(spark, monkeypatch):
+    """Many null and empty texts in one partition make many chunks, and the table of chunks leaves the catalog."""
+    monkeypatch.setattr(windows, "ROW_BYTES", 1 << 16)
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(200)], "doc_id long, text string").coalesce(1)
+    corpus = windows.Corpus(docs, "doc_id", "text")
+    assert corpus.chunks == 7 and corpus.table.selectExpr("explode(ids)").count() == 200
+    corpus.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quillon_")]
+    for df in (substrings.remove_substrings(docs), phrases.remove_phrases(docs)):
+        assert df.count() == 200 and df.where("n_removed > 0").isEmpty()
+
+
+def test_chunk_numbers_and_tasks(spark):
+    from pyspark.sql import functions as F
+
+    got = [windows.numbers(3, 11)]
+    seen = [next(got[0])] + [got[0].send(i % 5 == 0) for i in range(60)]
+    assert len({c for c, _ in seen}) == len(seen)
+    df = spark.createDataFrame([(c, b) for c, b in seen], "c long, b int")
+    assert df.where(F.pmod(F.hash("c"), F.lit(11)) != F.col("b")).isEmpty()
+    assert windows.tasks(0, 4) == 4 and windows.tasks(1 << 30, 4) == 64 and windows.tasks(100 << 40, 4) < 100_000
+
+
 def test_low_entropy_and_small_windows(spark):
     r = random.Random(9)
     docs = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for i in range(50)]
