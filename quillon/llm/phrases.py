@@ -185,16 +185,15 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(streamed(chunks, size))
     # a phrase with one place was no phrase
     counted = found.select(F.explode(F.arrays_zip("keys", "places")).alias("f")).groupBy("f.keys").agg(F.sum("f.places").alias("places"))
-    single = materialize(counted.where("places < 2").select(F.col("keys").alias("key")))
+    single = counted.where("places < 2").select(F.col("keys").alias("key"))
     results = found
     if not single.isEmpty():
-        again = pairs.join(single, "key", "left_semi").select("chunk").distinct()
+        single = materialize(single)
+        again = materialize(pairs.join(single, "key", "left_semi").select("chunk").distinct())
         phrases = corpus.collect(pairs.join(again, "chunk", "left_semi").join(single, "key", "left_anti").join(distinct, "key"), "phrases")
         chunks = corpus.with_answers(corpus.table.join(again.repartition(corpus.tasks, "chunk"), "chunk", "left_semi"), phrases)
-        results = found.join(again, "chunk", "left_anti").union(streamed(chunks, size))
-    row = F.explode(F.arrays_zip("ids", "n_words", "n_removed", "kept")).alias("r")
-    out = materialize(results.select(row).select(F.col("r.ids").alias("doc_id"), "r.n_words", "r.n_removed", F.col("r.kept").alias("kept_sha256")))
+        results = found.join(again, "chunk", "left_anti").union(materialize(streamed(chunks, size)))
     corpus.close()
-    for spent in (wanted, found, single):
-        discard(spent)
-    return out
+    discard(wanted)
+    row = F.explode(F.arrays_zip("ids", "n_words", "n_removed", "kept")).alias("r")
+    return results.select(row).select(F.col("r.ids").alias("doc_id"), "r.n_words", "r.n_removed", F.col("r.kept").alias("kept_sha256"))

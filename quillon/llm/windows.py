@@ -40,7 +40,7 @@ from .common import id_text, materialize, prepare, remove, shared_dir
 CHUNK_BYTES = 2 << 20
 #: What a row counts for besides its text, so that rows without text fill chunks too.
 ROW_BYTES = 64
-TASK_BYTES = 16 << 20
+TASK_BYTES = 32 << 20
 WIDE = 16 << 30
 BLOCK_UNITS = 1 << 19
 SEGMENT = 1 << 22
@@ -409,8 +409,12 @@ class Corpus:
         """One row a chunk: as many answers as it asked buckets, so no more than its values. Dealt as the chunks are, so they meet without moving text."""
         return answers.repartition(self.tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*(c for c in answers.columns if c != "chunk"))).alias(name))
 
+    def noted(self, collected: DataFrame) -> DataFrame:
+        """Answers in shared storage. They are far smaller than the texts, so few tasks write them."""
+        return materialize(collected.coalesce(max(1, self.tasks // 4)))
+
     def with_answers(self, rows: DataFrame, collected: DataFrame) -> DataFrame:
-        return rows.join(collected.repartition(self.tasks, "chunk"), "chunk", "left")
+        return rows.join(collected.repartition(self.tasks, "chunk").hint("merge"), "chunk", "left")
 
 
 def unpack(batch: pa.RecordBatch, i: int) -> list[bytes]:
@@ -519,10 +523,10 @@ def asked(corpus: Corpus, scheme: Scheme, tell: bool = False) -> tuple[DataFrame
         yield from dealt(chunk, bucket_of(value[first], wide), [value[first], gram[first], again.astype(np.uint8)])
 
     first = settled(corpus.ask(corpus.table, ask_pieces, []), answer_pieces, PIECE, corpus.chunks, tell)
-    first = materialize(corpus.collect(first, "pieces"))
+    first = corpus.noted(corpus.collect(first, "pieces"))
     rows = corpus.with_answers(corpus.table, first)
     second = settled(corpus.ask(rows, ask_windows, ["pieces"]), answer_windows, SPOT, corpus.chunks, tell)
-    second = materialize(corpus.collect(second, "windows"))
+    second = corpus.noted(corpus.collect(second, "windows"))
     return corpus.with_answers(rows, second), many
 
 

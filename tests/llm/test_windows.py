@@ -144,7 +144,7 @@ def test_chunk_numbers_and_tasks(spark):
     assert len({c for c, _ in seen}) == len(seen)
     df = spark.createDataFrame([(c, b) for c, b in seen], "c long, b int")
     assert df.where(F.pmod(F.hash("c"), F.lit(11)) != F.col("b")).isEmpty()
-    assert windows.tasks(0, 4) == 4 and windows.tasks(1 << 30, 4) == 64 and windows.tasks(100 << 40, 4) < 100_000
+    assert windows.tasks(0, 4) == 4 and windows.tasks(1 << 30, 4) == 32 and windows.tasks(100 << 40, 4) < 100_000
 
 
 def test_low_entropy_and_small_windows(spark):
