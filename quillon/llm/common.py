@@ -16,15 +16,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows in one Arrow batch. Texts may be long, so batches stay far under Spark's 10,000 rows.
 BATCH_ROWS = 256
+BATCH_BYTES = 32 << 20
 
 #: This package's root, made importable on the executors.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches by rows and bytes, and let Python workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Bound the session's Arrow batches by rows and bytes, and let Python workers import this package.
+
+    Spark reads both bounds when a plan runs, after the operator has returned, so they stay set; smaller ones of the
+    caller's are left as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
@@ -42,9 +49,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    """A new folder under the one that the cluster shares (spark.checkpoint.dir). Only in local mode may that be unset; then it is a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its executors share")
         base = getattr(spark.sparkContext, "_quillon_dir", None)
         if base is None:
             base = spark.sparkContext._quillon_dir = tempfile.mkdtemp(prefix="quillon-")

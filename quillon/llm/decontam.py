@@ -7,10 +7,12 @@ lookup. A candidate then passes the length bound (the document has as many words
 (the window fits around the word's place) and exact verification word by word.
 
 The items go to the executors in blocks of at most BLOCK windows, a bounded broadcast; a benchmark of any size takes
-more blocks, each over all documents, and the hits of the blocks are merged per document.
+more blocks, each over all documents, and the hits of the blocks are merged per document. The driver holds one block at
+a time: what a block found is written before the next one is read, and its broadcast is let go.
 
 Defined cases: null has no words, in documents and items; an item without words matches nothing, one of fewer words
-than WINDOW is one window; a repeated item_id is one item with the windows of all its rows, null ids are left out;
+than WINDOW is one window; a repeated item_id is one item with the windows of all its rows; the windows of an item of
+null id hit words like any other, and only the id is left out of n_items and items_sha256;
 repeated documents get a row each; an empty benchmark leaves every document clean; extra columns are ignored.
 """
 
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize, per_text, prepare
@@ -95,11 +99,11 @@ def rarities(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
 def blocks(benchmark: DataFrame, window: int, size: int) -> Iterator[dict[Window, list[str]]]:
     """The items' windows in bounded blocks; the items stream to the driver partition by partition, one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).dropna()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).dropna(subset=["text"])
     now: dict[Window, list[str]] = {}
     for r in rows.toLocalIterator():
         for w in windows(words(r.text), window):
-            now.setdefault(w, []).append(r.item_id)
+            now.setdefault(w, []).extend([] if r.item_id is None else [r.item_id])
             if len(now) >= size:
                 yield now
                 now = {}
@@ -115,18 +119,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = prepare(docs.sparkSession)
     texts = id_text(docs, id_col, text_col)
-    found = []
-    for of in blocks(benchmark, window, block):
-        index = spark.sparkContext.broadcast(Index(of, rarities(texts, {x for w in of for x in w})))
-        found.append(index)
-    if len(found) > 1:
-        return in_blocks(texts, found)
+    of = blocks(benchmark, window, block)
+    first, second = next(of, None), next(of, None)
+    if second is not None:
+        return in_blocks(texts, chain((first, second), of))
+    index = broadcast(spark, texts, first or {})
 
     def run(batch: list[str]) -> list[list]:
         columns: list[list] = [[] for _ in range(5)]
         for text in batch:
             doc = words(text)
-            ranges, items = found[0].value.find(doc) if found else ([], set())
+            ranges, items = index.value.find(doc)
             row = (len(doc), sum(e - s for s, e in ranges), len(items), digest(items), bool(ranges))
             for c, v in zip(columns, row):
                 c.append(v)
@@ -135,11 +138,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return per_text(texts, run, SCHEMA)
 
 
-def in_blocks(texts: DataFrame, found: list) -> DataFrame:
+def broadcast(spark: SparkSession, texts: DataFrame, of: dict[Window, list[str]]) -> Broadcast:
+    return spark.sparkContext.broadcast(Index(of, rarities(texts, {x for w in of for x in w}) if of else {}))
+
+
+def in_blocks(texts: DataFrame, found: Iterable[dict[Window, list[str]]]) -> DataFrame:
     """The same over several blocks: one pass each for the hits, which are few, then one that adds them up by row."""
     rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()))
     hits = None
-    for index in found:
+    for of in found:
+        index = broadcast(texts.sparkSession, texts, of)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -148,7 +156,8 @@ def in_blocks(texts: DataFrame, found: list) -> DataFrame:
                 flat = [[x for r in got[i][0] for x in r] for i in keep]
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(keep, pa.int64())), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(got[i][1]) for i in keep], pa.list_(pa.string()))], ["row", "ranges", "items"])
 
-        one = rows.select("row", "text").mapInArrow(run, "row long, ranges array<long>, items array<string>")
+        one = materialize(rows.select("row", "text").mapInArrow(run, "row long, ranges array<long>, items array<string>"))
+        index.destroy()
         hits = one if hits is None else hits.union(one)
     sizes = rows.select("doc_id", "row", "text").mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([len(words(t)) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "row", "n_words"]) for b in batches),
@@ -172,15 +181,25 @@ def in_blocks(texts: DataFrame, found: list) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The input rows, all columns, without those that hold a benchmark window."""
+    """The input rows, all columns, without those that hold a benchmark window.
+
+    A null or empty text holds none and stays; rows of null and repeated ids are judged each by their text; an item of
+    null id counts; an empty benchmark keeps all rows; no helper column is added, so no name can clash.
+    """
     spark = prepare(docs.sparkSession)
     out = docs
-    for of in blocks(benchmark, window, block):
-        index = spark.sparkContext.broadcast(Index(of, rarities(id_text(docs, docs.columns[0], text_col), {x for w in of for x in w})))
+    of = blocks(benchmark, window, block)
+    now = next(of, None)
+    while now is not None:
+        index = broadcast(spark, docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), now)
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not index.value.find(words(t))[0] for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)
+        now = next(of, None)
+        if now is not None:
+            out = materialize(out)
+            index.destroy()
     return out

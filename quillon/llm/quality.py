@@ -145,8 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             failed, points = pa.array([base_failed(c) for c, _ in got], pa.bool_()), pa.array([f for _, f in got], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), failed, points], ["doc_id", "quality", "failed", "x"])
 
-    # fit_rows rows of six numbers; of repeated documents the first counts
-    sample = texts.mapInArrow(measure, "doc_id long, quality int, failed boolean, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # fit_rows rows of six numbers; of repeated documents the least in these counts
+    sample = texts.mapInArrow(measure, "doc_id long, quality int, failed boolean, x array<double>")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("quality", "failed", "x")).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")
     sample = sample[~sample.failed]
     good = (sample.quality == 1).to_numpy()
     if not good.any():

@@ -9,7 +9,7 @@ identifier; an identifier with a secret or an endpoint that itself stands with a
 is reported. Base spans take part as the roles they have.
 
 A scope belongs to one document, so the join runs document by document as a sorted interval join (bisection over
-starts), in O(n log n) for n parts and without a shuffle.
+starts and running ends), in O(n log n) for n parts and without a shuffle.
 
 Defined cases: null or empty text has no spans; repeated rows are scanned each; overlapping weak candidates of one
 role keep the leftmost, then the longest; one that overlaps a base span gives way to it; an empty table gives none.
@@ -22,6 +22,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,15 +84,16 @@ def weak_parts(text: str) -> list[Span]:
     return out
 
 
-def near(span: Span, others: list[Span], starts: list[int], longest: int, reach: int) -> bool:
-    """Does any of the others, sorted by start, lie within reach of the span? Those that end early enough start after span - reach - longest."""
-    lo, hi = bisect_left(starts, span[1] - reach - longest), bisect_right(starts, span[2] + reach)
-    return any(others[i][2] >= span[1] - reach for i in range(lo, hi))
+class Places:
+    """Spans of a role, to be asked whether one of them lies near."""
 
+    def __init__(self, spans: list[Span], reach: int):
+        self.reach, self.starts = reach, [s[1] for s in spans]
+        self.ends = list(accumulate((s[2] for s in spans), max))  # of those that start no later, where the last one ends
 
-def index(spans: list[Span], reach: int) -> tuple[list[Span], list[int], int, int]:
-    """What near() asks for of the spans, sorted by start."""
-    return spans, [s[1] for s in spans], max((s[2] - s[1] for s in spans), default=0), reach
+    def near(self, span: Span) -> bool:
+        i = bisect_right(self.starts, span[2] + self.reach)
+        return i > 0 and self.ends[i - 1] >= span[1] - self.reach
 
 
 def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
@@ -119,14 +121,14 @@ def link(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
                 own.append(s)
         if not roles["secret"] or not (roles["id"] or roles["endpoint"]):
             continue
-        ids, secrets = index(roles["id"], reach), index(roles["secret"], reach)
-        id_ends = index([s for s in roles["endpoint"] if near(s, *ids)], reach)
-        secret_ends = index([s for s in roles["endpoint"] if near(s, *secrets)], reach)
-        sure = [s for s in roles["secret"] if not s[0].startswith("weak") or near(s, *ids) or near(s, *id_ends)]
-        told = index(sure, reach)
-        out += [s for s in roles["id"] if s[0].startswith("weak") and (near(s, *secrets) or near(s, *secret_ends))]
+        ids, secrets = Places(roles["id"], reach), Places(roles["secret"], reach)
+        id_ends = Places([s for s in roles["endpoint"] if ids.near(s)], reach)
+        secret_ends = Places([s for s in roles["endpoint"] if secrets.near(s)], reach)
+        sure = [s for s in roles["secret"] if not s[0].startswith("weak") or ids.near(s) or id_ends.near(s)]
+        told = Places(sure, reach)
+        out += [s for s in roles["id"] if s[0].startswith("weak") and (secrets.near(s) or secret_ends.near(s))]
         out += [s for s in sure if s[0].startswith("weak")]
-        out += [s for s in roles["endpoint"] if near(s, *told)]
+        out += [s for s in roles["endpoint"] if told.near(s)]
     return out
 
 
@@ -172,7 +174,11 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns, with secrets taken out of the text and the length column brought up to date."""
+    """The same rows and columns, with secrets taken out of the text and the length column brought up to date.
+
+    A null or empty text stays as it is; null and repeated ids don't matter; a length of a text that doesn't change
+    stays, null or wrong as it may be; without a length column only the text changes; no helper column is added.
+    """
     import pyarrow as pa
 
     prepare(docs.sparkSession)

@@ -7,7 +7,9 @@ own cells first, clockwise; what is left over walks on clockwise to the next sha
 
 Only the row counts of the cells, CELLS numbers whatever the input, reach the driver. The placement they give is a
 table of at most CELLS + points pieces (cell, ranks from..to, shard, first slot), broadcast because its size is
-bounded by constants. A row's rank lies in its cell alone, so no task sorts more than one cell.
+bounded by constants. A row's rank in its cell is counted level by level: by the content of the row (PARTS parts), by
+the task that wrote it, then by order. So no task ranks a whole cell, whether one id holds a third of all rows with
+different texts or with the same one; which rows overflow depends on content, and on the task only among rows alike.
 
 Defined cases: null text has size 8 and the CRC of no bytes; rows of a null id are keyed by size and CRC of their text;
 rows that are equal in all columns are kept and get slots of their own; an empty table gives no rows; other columns
@@ -25,6 +27,7 @@ from .common import materialize
 
 CELLS = 1 << 16
 REPLICAS = 128
+PARTS = 1 << 12
 PIECES = "cell int, lo long, hi long, shard int, first long"
 
 
@@ -85,12 +88,20 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     none = F.col("doc_id").isNull()
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), none, F.when(none, F.col("text_crc32")), F.when(none, F.col("size"))))
     # the texts are read once: what is counted and then placed is a few numbers a row
-    rows = materialize(rows.withColumn("cell", F.pmod("h", F.lit(CELLS)).cast("int")))
+    part = F.pmod(F.xxhash64("h", "size", "text_crc32"), F.lit(PARTS)).cast("int")
+    rows = materialize(rows.select("*", F.pmod("h", F.lit(CELLS)).cast("int").alias("cell"), part.alias("part"), F.spark_partition_id().alias("task")))
     counts = np.zeros(CELLS, dtype=np.int64)
     for cell, n in rows.groupBy("cell").count().collect():  # CELLS rows at most
         counts[cell] = n
     pieces = spark.createDataFrame(place(counts, ring(shards), shards), PIECES)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id", "size", "text_crc32")) - 1)
+    # rows before those of the same part, and among those before the ones of the same task
+    fine = rows.groupBy("cell", "part", "task").agg(F.count("*").alias("n"))
+    coarse = fine.groupBy("cell", "part").agg(F.sum("n").alias("n"))
+    sum_before = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = coarse.select("cell", "part", sum_before(["cell"], "part").alias("above"))
+    fine = fine.withColumn("before", sum_before(["cell", "part"], "task")).join(coarse, ["cell", "part"]).select("cell", "part", "task", (F.col("above") + F.col("before")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("cell", "part", "task").orderBy("h", "doc_id", "size", "text_crc32"))
+    ranked = rows.withColumn("own", own).join(fine, ["cell", "part", "task"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     at = F.broadcast(pieces.withColumnRenamed("cell", "of"))
     out = ranked.join(at, (F.col("cell") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return out.select(

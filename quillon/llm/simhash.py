@@ -6,7 +6,9 @@ two of any three bits lie in one half of the word, those two-bit variants whose
 a common variant. Fingerprints within one bit of a variant are within two of each other, and one within two bits is
 within three of those, so each meeting links its members to its smallest one-bit member: every link is right by
 construction, and no pairs within a group are formed. A variant can only have as many members as its ball has points,
-so no shuffle key is hot.
+so no variant is a hot key. Two joins have keys that may be hot: the block keys of the filter, which distinct
+fingerprints share where texts are alike, and the fingerprints when they are joined back to rows, which all copies of a
+text share. Both join many narrow rows to one row a key, and adaptive execution splits the many.
 
 Exact copies share a fingerprint and are collapsed before anything else. Ahead of the balls an exact filter leaves out
 fingerprints that can have no partner: of BLOCKS = 6 blocks, three bits can touch three, so partners agree on three
@@ -19,6 +21,7 @@ the smallest id; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import id_text, materialize, per_text, prepare
 from .graph import connected_components
@@ -111,19 +115,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near-duplicates: of each group one row, that of the smallest id, null ids last, and of rows of that id the one whose text has the smallest SHA-256, null first."""
+    """The input rows without near-duplicates: of each group exactly one row stays.
+
+    It is that of the smallest id, null ids last; of rows of that id the one whose text has the smallest SHA-256, null
+    first; of those the one of the smallest hash of all columns that aren't maps. Null and empty texts form one group;
+    rows of null ids are told apart by their text, so they meet under no single key; the names of helper columns are
+    made so that no column of the input has them; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     number, digest = F.col(id_col).cast("long"), F.coalesce(F.sha2(text_col, 256), F.lit(""))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array(fingerprints(batch.column(2).to_pylist()).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "digest", "fp"])
-
-    texts = docs.select(number.alias("doc_id"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialize(texts.mapInArrow(run, "doc_id long, digest string, fp long"))
-    # a row is known by its id, whether that is null, and its text's digest, so one shuffle serves the join and the removal of repeated rows
-    key = lambda i, d: (F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_none"), d.alias("_digest"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    stay = rooted(rows, least).groupBy("root").agg(F.min("least").alias("least")).select(*key(F.col("least.doc_id"), F.col("least.digest"))).distinct()
-    return docs.select("*", *key(number, digest)).join(stay, ["_id", "_none", "_digest"], "left_semi").dropDuplicates(["_id", "_none", "_digest"]).select(*docs.columns)
+            fp = pa.array(fingerprints(batch.column(3).to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp], ["doc_id", "digest", "tie", "fp"])
+
+    texts = docs.select(number.alias("doc_id"), digest.alias("digest"), tie.alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialize(texts.mapInArrow(run, "doc_id long, digest string, tie long, fp long"))
+    # a row is known by its id, whether that is null, its text's digest and the hash of all, so one shuffle serves the join and the removal of repeated rows
+    names = [f"quillon_{uuid.uuid4().hex}" for _ in range(4)]
+    key = lambda i, d, t: [c.alias(n) for c, n in zip((F.coalesce(i, F.lit(0)), i.isNull(), d, t), names)]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "tie"))
+    stay = rooted(rows, least).groupBy("root").agg(F.min("least").alias("least")).select(*key(*(F.col(f"least.{c}") for c in ("doc_id", "digest", "tie"))))
+    return docs.select("*", *key(number, digest, tie)).join(stay, names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])

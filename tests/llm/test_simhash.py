@@ -98,3 +98,18 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
     want = [min((r for r, g in zip(rows, groups) if g == k), key=order) for k in set(groups)]
     assert sorted(kept, key=order) == sorted(want, key=order)
+
+
+def test_columns_of_any_name_and_many_null_ids(spark):
+    """Helper names can't clash; null ids meet under no single key; rows that differ in other columns alone leave the same one each time."""
+    long = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, long, "a", 1), (None, long, "b", 2), (None, long + " x", "c", 3), (5, long, "d", 4), (5, long + " y", "e", 5), (5, long + " y", "f", 6)]
+    names = "doc_id long, text string, _id string, `a.b` int"
+    kept = simhash.keep_one(spark.createDataFrame(rows, names))
+    assert kept.columns == ["doc_id", "text", "_id", "a.b"] and [tuple(r) for r in kept.collect()] == [rows[0]]
+    for fp in ("fp", "tie", "digest", "root", "node", "least"):
+        assert simhash.keep_one(spark.createDataFrame(rows, f"doc_id long, text string, {fp} string, none int")).count() == 1
+    same = [simhash.keep_one(spark.createDataFrame(rows[4:], names).repartition(n)).collect() for n in (1, 2)]
+    assert same[0] == same[1] and len(same[0]) == 1
+    many = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> sha2(concat(id % 500, '-', x), 256))) AS text").repartition(16)
+    assert simhash.keep_one(many).count() == 500
