@@ -3,19 +3,27 @@
 Pages of one host come from one template. A page is a stream of block tags and text slots. Repeats in it are folded
 into groups, then the streams of a host are aligned one after another: a text that differs becomes a slot, a stretch
 that one side lacks becomes optional, a group on one side takes in single copies on the other. The result is the
-host's wrapper, a regular expression without unions. Its slots tell which container holds the article: slots in
-menus, forms and the like are ruled out by their element, role or class, slots whose text never changes from page to
-page by the wrapper itself, and the main container is the one that holds most of what is left. Extraction reads each
-page whole and keeps the blocks in that container; a page that doesn't fit its host's wrapper is judged alone.
+host's wrapper, a regular expression without unions. The wrapper decides, in this order:
+
+1. slots whose text is the same on every page that has them are template, be they optional or not, and in whatever
+   element: at least TOLD pages of different content must agree, so copies of a page say nothing;
+2. slots whose text is all links, over TOLD pages or more, are menus;
+3. the main container is the deepest that holds four fifths of the text of the other slots.
+
+Names of elements, roles and classes only help where the wrapper leaves a choice: open slots in menus, forms, comments
+and the like are no article, and among containers that hold half of the text one named for articles goes first. A host
+of fewer than TOLD different pages has no template to infer; there the names decide. A page without text in its host's
+container is judged alone.
 
 Streams are folded and counted where the pages are, so a host with a third of all pages sends its distinct streams,
 not its pages. They are merged level by level, each level over fewer parts of a host, so that no task gathers a host's
 streams, nor the copies of one stream from all tasks. The wrappers are broadcast where their measured size is under
-BROADCAST bytes, else joined by host.
+BROADCAST bytes, else joined by host. Pages are read in linear time, whatever is in them.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host belongs to the host "";
-repeated rows are extracted each; unclosed, unopened and misnested tags are taken as they come; below DEEPEST open
-elements only whether some are no part of an article counts; an empty table gives no rows; extra columns are ignored.
+repeated rows are extracted each; unclosed, unopened and misnested tags are taken as they come; elements inside DEEPEST
+open ones count as part of the last of those, as browsers' parsers bound nesting; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +32,16 @@ import html
 import json
 import math
 import re
+import sys
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +54,19 @@ LEVELS = (4096, 64, 1)
 BROADCAST = 8 << 20
 MASKS = 16 << 20
 FLUSH = 5000
-LONGEST_UNIT = 24
-DEEPEST = 60
+#: Python frames for wrappers of DEEPEST levels.
+FRAMES = 20_000
+DEEPEST = 512
+#: Pages of different content that must agree before a text or a list of links is taken for template.
+TOLD = 3
+#: Signatures of pages that a slot remembers.
+SIGNED = 4
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-LEXER = re.compile(
-    r"<!--(?:.*?-->|.*$)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
+MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+UNQUOTED = re.compile(r"[^>\"']*+>")
+QUOTES = re.compile(r"[>\"']")
+RAW = frozenset("script style noscript template textarea svg iframe".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: Words of a name; numbers of three digits and more tell pages apart, not parts.
 PIECE = re.compile(r"[A-Z]?[a-z]+(?:[0-9]{1,2}(?![0-9]))?|[A-Z]+(?![a-z])")
@@ -68,8 +83,6 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody post entry story".split())
 
-Path = tuple[str, ...]
-
 
 def label(name: str, rest: str) -> str:
     """tag.class: the tag, a ! where it is no part of an article, a * where it is the article's, and the words of its class and id."""
@@ -87,15 +100,78 @@ def label(name: str, rest: str) -> str:
     return name + ("!" if drop else "*" if main else "") + "".join(f".{w}" for w in sorted(words))
 
 
+class Source:
+    """Where the tags of a page end, in time linear in the page."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, text.rfind(">")
+        self.quotes: tuple[list[int], list[int]] | None = None
+
+    def tag_end(self, at: int) -> int:
+        """The end of a tag whose attributes begin there: the first > outside quotes or, where quotes don't close, the first at all."""
+        if m := UNQUOTED.match(self.text, at):
+            return m.end()
+        if self.quotes is None:
+            # from the right: where a tag ends that is outside quotes, in double and in single ones before each mark
+            places = [m.start() for m in QUOTES.finditer(self.text)]
+            ends = [-1] * len(places)
+            plain = double = single = -1
+            for i in range(len(places) - 1, -1, -1):
+                c = self.text[places[i]]
+                if c == ">":
+                    plain = places[i] + 1
+                elif c == '"':
+                    plain, double = double, plain
+                else:
+                    plain, single = single, plain
+                ends[i] = plain
+            self.quotes = places, ends
+        places, ends = self.quotes
+        i = bisect_left(places, at)
+        return ends[i] if i < len(ends) and ends[i] >= 0 else self.text.find(">", at) + 1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes); comments, declarations and raw elements have no name."""
+        text, at = self.text, 0
+        while m := MARKUP.search(text, at):
+            start = m.start()
+            if start > self.last and not m[1]:  # no tag ends any more
+                start = text.find("<!--", start)
+                if start >= 0:
+                    yield start, len(text), "", False, ""
+                return
+            if m[1]:
+                at = text.find("-->", m.end()) + 3
+                at = len(text) if at < 3 else at
+                yield start, at, "", False, ""
+            elif m[2]:
+                at = text.find(">", m.end()) + 1
+                yield start, at, "", False, ""
+            else:
+                at, name = self.tag_end(m.end()), m[4].lower()
+                if not m[3] and name in RAW:
+                    if text[at - 2] != "/" or name != "svg":
+                        close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(text, at)
+                        at = close.end() if close else len(text)
+                    yield start, at, "", False, ""
+                else:
+                    yield start, at, name, bool(m[3]), text[m.end() : at - 1]
+
+
 class Page:
-    """A page as the stream of its block tags and texts: events are labels, "/" for an end, and (text, link characters) for a block of text."""
+    """A page as the stream of its block tags and texts: events are labels, "/" for an end, and (text, link characters) for a block of text.
+
+    An open element is a node: its parent, its label, whether it or one above it is no part of an article, and a code of
+    the labels on its path. Node 0 is the page.
+    """
 
     def __init__(self, source: str | None):
         self.events: list[str | tuple[str, int]] = []
-        self.paths: list[Path] = []
-        stack: list[tuple[str, str]] = []
+        self.parent, self.label, self.out, self.code = [0], [""], [False], [0]
+        self.blocks: list[tuple[int, str, int]] = []  # node, text, link characters
+        stack: list[tuple[str, str, int]] = []
         open_names: Counter[str] = Counter()
-        below: list[bool] = []  # of open elements under DEEPEST, whether they or one above them there are no part of an article
+        articles = 0
         held: list[str] = []
         links = depth = at = 0
 
@@ -105,39 +181,47 @@ class Page:
                 text = " ".join(html.unescape("".join(held)).split())
                 if text:
                     self.events.append((text, links))
-                    self.paths.append(tuple(x for _, x in stack[:DEEPEST]) + (("deep!",) if below and below[-1] else ()))
+                    self.blocks.append((stack[-1][2] if stack else 0, text, links))
                 held.clear()
             links = 0
 
         def push(name: str, mark: str) -> None:
-            if len(stack) >= DEEPEST:
-                below.append("!" in mark.split(".", 1)[0] or bool(below and below[-1]))
-            stack.append((name, mark))
+            nonlocal articles
+            above = stack[-1][2] if stack else 0
+            out = self.out[above] or outside(mark)
+            if len(stack) < DEEPEST:
+                self.events.append(mark)
+            if len(stack) < DEEPEST or out != self.out[above]:
+                self.parent.append(above)
+                self.label.append(mark)
+                self.out.append(out)
+                self.code.append(step(self.code[above], mark) if len(stack) < DEEPEST else self.code[above])
+                above = len(self.parent) - 1
+            stack.append((name, mark, above))
             open_names[name] += 1
-            self.events.append(mark)
+            articles += made(mark)
 
         def pop() -> None:
-            open_names[stack.pop()[0]] -= 1
-            if below:
-                below.pop()
-            self.events.append("/")
+            nonlocal articles
+            name, mark, _ = stack.pop()
+            open_names[name] -= 1
+            articles -= made(mark)
+            if len(stack) < DEEPEST:
+                self.events.append("/")
 
         source = source or ""
-        for m in LEXER.finditer(source):
-            if m.start() > at:
-                held.append(source[at : m.start()])
-                links += (m.start() - at) * (depth > 0)
-            at = m.end()
-            name = (m["name"] or "").lower()
-            if m["raw"] or not name:
-                continue
+        for start, end, name, closes, rest in Source(source).tags():
+            if start > at:
+                held.append(source[at:start])
+                links += (start - at) * (depth > 0)
+            at = end
             if name == "a":
-                depth = 0 if m["end"] else 1
+                depth = 0 if closes else 1
             elif name in BREAKS:
                 held.append(" ")
             elif name in BLOCKS:
                 flush()
-                if m["end"]:
+                if closes:
                     if open_names[name]:
                         while stack[-1][0] != name:
                             pop()
@@ -149,8 +233,8 @@ class Page:
                     while stack and stack[-1][0] in CLOSES.get(name, ()):
                         pop()
                 # the header of a page goes, that of an article stays
-                mark = label(name, m["rest"])
-                if name == "header" and not any("*" in x for _, x in stack) and "!" not in mark:
+                mark = label(name, rest)
+                if name == "header" and not articles and "!" not in mark:
                     mark = "header!" + mark[6:]
                 push(name, mark)
         if at < len(source):
@@ -159,13 +243,27 @@ class Page:
         while stack:
             pop()
 
-    def blocks(self) -> list[tuple[Path, str, int]]:
-        return [(p, *e) for p, e in zip(self.paths, (e for e in self.events if isinstance(e, tuple)))]
+    def signature(self) -> int:
+        """What tells pages of different content apart, and copies not, nor most near copies: the three longest blocks."""
+        return zlib.crc32("\n".join(sorted({t for _, t, _ in self.blocks}, key=lambda t: (-len(t), t))[:3]).encode("utf-8", "surrogatepass"))
+
+
+def step(code: int, mark: str) -> int:
+    """The code of a path that goes on by an element."""
+    return xxhash.xxh64_intdigest(mark.encode("utf-8", "surrogatepass"), code) >> 1
+
+
+def outside(mark: str) -> bool:
+    return "!" in mark.split(".", 1)[0]
+
+
+def made(mark: str) -> bool:
+    return "*" in mark.split(".", 1)[0]
 
 
 # -- union-free regular expressions ----------------------------------------------------------------------------------
-# An item is a slot ["#", crc of its text or None, characters, link characters, texts], an element ["e", label, items],
-# a group ["+", items] or an optional stretch ["?", items].
+# An item is a slot ["#", crc of its text or None, characters, link characters, texts, signatures of pages], an element
+# ["e", label, items], a group ["+", items] or an optional stretch ["?", items].
 Item = list
 
 
@@ -193,40 +291,58 @@ def likeness(item: Item) -> str:
 def join(a: Item, b: Item) -> Item:
     """Two items of one key into one; texts that differ leave an open slot."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4]]
+        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4], sorted({*a[5], *b[5]})[:SIGNED]]
     if a[0] == "e":
         return ["e", a[1], align(a[2], b[2])]
     return [a[0], [join(x, y) for x, y in zip(a[1], b[1])]]
 
 
-def tandem(items: list[Item], unit: int) -> list[Item]:
+def tandem(items: list[Item], keys: list[str], unit: int) -> list[Item]:
     """Runs of alike units of that many items become groups."""
-    keys, out, i = [likeness(x) for x in items], [], 0
-    while i < len(items):
-        j = i + unit
-        if any(k != "#" for k in keys[i:j]):
-            while keys[i : i + unit] == keys[j : j + unit]:
-                j += unit
-        if j == i + unit:
+    n = len(items)
+    alike = [0] * (n + 1)  # from there on, so many keys are those of a unit later
+    for i in range(n - unit - 1, -1, -1):
+        alike[i] = alike[i + 1] + 1 if keys[i] == keys[i + unit] else 0
+    out, i = [], 0
+    while i < n:
+        copies = alike[i] // unit
+        if not copies or all(k == "#" for k in keys[i : i + unit]):
             out.append(items[i])
             i += 1
             continue
         group = items[i : i + unit]
-        for k in range(i + unit, j, unit):
+        for k in range(i + unit, i + (copies + 1) * unit, unit):
             group = [join(x, y) for x, y in zip(group, items[k : k + unit])]
         out.append(["+", group])
-        i = j
+        i += (copies + 1) * unit
     return out
 
 
+def period(keys: list[str], least: int) -> int | None:
+    """The least unit, of that many items or more, that is repeated right after itself.
+
+    A run of so many keys that are those of a unit later holds exactly one multiple of the unit, so only multiples are
+    tried, which is n log n for all units of n keys.
+    """
+    n = len(keys)
+    for unit in range(least, n // 2 + 1):
+        for i in range(0, n - unit, unit):
+            if keys[i] == keys[i + unit]:
+                lo, hi = i, i + 1
+                while lo and i - lo < unit and keys[lo - 1] == keys[lo - 1 + unit]:
+                    lo -= 1
+                while hi + unit < n and hi - lo < unit and keys[hi] == keys[hi + unit]:
+                    hi += 1
+                if hi - lo >= unit:
+                    return unit
+    return None
+
+
 def fold(items: list[Item]) -> list[Item]:
-    """Fold repeats, short units first; elements arrive folded."""
+    """Fold repeats of any length, short units first; elements arrive folded."""
     unit, keys = 1, [likeness(x) for x in items]
-    while unit <= min(LONGEST_UNIT, len(items) // 2):
-        if b"\1" * unit not in bytes(map(str.__eq__, keys, keys[unit:])):
-            unit += 1
-            continue
-        folded = absorb(tandem(items, unit))
+    while unit := period(keys, unit):
+        folded = absorb(tandem(items, keys, unit))
         if len(folded) < len(items):
             items, unit, keys = folded, 1, [likeness(x) for x in folded]
         else:
@@ -347,17 +463,12 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
 def stream(page: Page) -> list[Item]:
     """A page's events as folded items."""
     stack: list[tuple[str, list[Item]]] = [("", [])]
-    deeper = 0  # open elements below DEEPEST: what lies deeper than any template is one level
+    signature = page.signature()
     for e in page.events:
         if isinstance(e, tuple):
-            stack[-1][1].append(["#", zlib.crc32(e[0].encode("utf-8", "surrogatepass")), len(e[0]), e[1], 1])
+            stack[-1][1].append(["#", zlib.crc32(e[0].encode("utf-8", "surrogatepass")), len(e[0]), e[1], 1, [signature]])
         elif e != "/":
-            if len(stack) > DEEPEST:
-                deeper += 1
-            else:
-                stack.append((e, []))
-        elif deeper:
-            deeper -= 1
+            stack.append((e, []))
         else:
             name, items = stack.pop()
             stack[-1][1].append(["e", name, fold(items)])
@@ -378,63 +489,96 @@ def render(items: list[Item]) -> str:
 
 
 # -- what a wrapper says about the article ------------------------------------------------------------------------------
-def slots(items: list[Item], path: Path = (), grouped: bool = False) -> Iterator[tuple[Path, list, bool]]:
-    """Each slot with the labels around it, and whether it is in a group."""
+class Paths:
+    """Paths by their code, with what is on them: depth, parent's code, label, whether it is outside the article, and the characters of text right in them."""
+
+    def __init__(self):
+        self.of: dict[int, list] = {0: [0, 0, "", False, 0]}
+
+    def add(self, above: int, mark: str) -> int:
+        code, up = step(above, mark), self.of[above]
+        self.of.setdefault(code, [up[0] + 1, above, mark, up[3] or outside(mark), 0])
+        return code
+
+    def main(self, told: bool) -> int | None:
+        """The container of the article. told: whether a template has been inferred, so that names of elements only choose among containers of half of the text."""
+        weight = {c: p[4] for c, p in self.of.items()}
+        for c in sorted(self.of, key=lambda c: -self.of[c][0]):
+            if c:
+                weight[self.of[c][1]] += weight[c]
+        total = weight[0]
+        if not total:
+            return None
+        name = lambda c: (-self.of[c][0], self.of[c][2], c)
+        named = [c for c, p in self.of.items() if made(p[2]) and not p[3] and (2 if told else 5) * weight[c] >= total]
+        if named:
+            return min(named, key=lambda c: (-weight[c], *name(c)))
+        whole = [c for c, p in self.of.items() if 5 * weight[c] >= 4 * total and not p[2].startswith(("p", "h1", "h2", "li", "td"))]
+        return min(whole, key=lambda c: (-self.of[c][0], -weight[c], *name(c)))
+
+
+def slots(items: list[Item], paths: Paths, at: int = 0, grouped: bool = False, optional: bool = False) -> Iterator[tuple[int, list, bool, bool]]:
+    """Each slot with the path around it, whether it is in a group, and whether in an optional stretch."""
     for x in items:
         if x[0] == "#":
-            yield path, x, grouped
+            yield at, x, grouped, optional
         elif x[0] == "e":
-            yield from slots(x[2], (*path, x[1]), grouped)
+            yield from slots(x[2], paths, paths.add(at, x[1]), grouped, optional)
         else:
-            yield from slots(x[1], path, grouped or x[0] == "+")
-
-
-def outside(path: Path) -> bool:
-    return any("!" in x.split(".", 1)[0] for x in path)
-
-
-def main_root(parts: list[tuple[Path, int, int]]) -> Path | None:
-    """Of (path, characters, link characters) the container of the article: an element made for it if there is one with text, else the smallest that holds four fifths."""
-    weight: dict[Path, int] = {}
-    for path, chars, links in parts:
-        if not outside(path) and 2 * links <= chars:
-            for i in range(len(path) + 1):
-                weight[path[:i]] = weight.get(path[:i], 0) + chars
-    if not weight:
-        return None
-    total = weight[()]
-    made = [p for p in weight if p and "*" in p[-1].split(".", 1)[0] and 5 * weight[p] >= total]
-    if made:
-        return min(made, key=lambda p: (-weight[p], -len(p), p))
-    whole = [p for p in weight if 5 * weight[p] >= 4 * total and (not p or not p[-1].startswith(("p", "h1", "h2", "li", "td")))]
-    return max(whole, key=lambda p: (len(p), weight[p], p))
+            yield from slots(x[1], paths, at, grouped or x[0] == "+", optional or x[0] == "?")
 
 
 def verdict(wrapper: list[Item]) -> dict:
-    """root: the article's container; fixed: texts outside elements made for articles that are the same on every page, by path."""
-    found = list(slots(wrapper))
-    pages = max((s[4] for _, s, grouped in found if not grouped), default=0)
-    fixed = {(" ".join(p), s[1]) for p, s, grouped in found if not grouped and s[1] is not None and s[4] >= 3 and 2 * s[4] >= pages and not any("*" in x for x in p)}
-    open_parts = [(p, s[2], s[3]) for p, s, _ in found if (" ".join(p), s[1]) not in fixed]
-    if 2 * sum(n for p, n, _ in open_parts if not outside(p)) < sum(s[2] for p, s, _ in found if not outside(p)):
-        fixed, open_parts = set(), [(p, s[2], s[3]) for p, s, _ in found]  # the pages are copies, so what they share tells nothing
-    root = main_root(open_parts)
-    return {"root": None if root is None else list(root), "fixed": [list(x) for x in sorted(fixed)]}
+    """root: the article's container; fixed: texts of the template by path; menus: paths that hold links alone. All None or empty where there is no template to infer."""
+    paths = Paths()
+    found = list(slots(wrapper, paths))
+    told = len({x for _, s, _, _ in found for x in s[5]}) >= TOLD
+    pages = max((s[4] for _, s, grouped, _ in found if not grouped), default=0)
+    fixed = {(p, s[1]) for p, s, grouped, optional in found if not grouped and s[1] is not None and len(s[5]) >= TOLD and (optional or 2 * s[4] >= pages)}
+    lists: dict[int, list] = {}
+    for p, s, _, _ in found:
+        x = lists.setdefault(p, [0, 0, set()])
+        x[0], x[1], x[2] = x[0] + s[2], x[1] + s[3], x[2] | set(s[5])
+    menus = {p for p, (chars, links, pages_of) in lists.items() if 10 * links >= 9 * chars and len(pages_of) >= TOLD}
+    inner = [(p, s) for p, s, _, _ in found if not paths.of[p][3]]
+    free = [(p, s) for p, s in inner if (p, s[1]) not in fixed and p not in menus]
+    if 10 * sum(s[2] for _, s in free) < sum(s[2] for p, s in inner if p not in menus):
+        fixed, free = set(), [(p, s) for p, s in inner if p not in menus]  # what pages share is nearly all of them, so it isn't template
+    for p, s in free:
+        if 2 * s[3] <= s[2]:
+            paths.of[p][4] += s[2]
+    return {"root": paths.main(True) if told else None, "fixed": sorted(fixed), "menus": sorted(menus)}
+
+
+def alone(page: Page) -> int | None:
+    """The container of the article by one page alone."""
+    paths = Paths()
+    codes = [0]
+    for i in range(1, len(page.parent)):
+        above = codes[page.parent[i]]
+        codes.append(paths.add(above, page.label[i]) if page.code[i] != page.code[page.parent[i]] else above)
+    for node, text, links in page.blocks:
+        if not page.out[node] and 2 * links <= len(text):
+            paths.of[codes[node]][4] += len(text)
+    return paths.main(False)
 
 
 def main_text(page: Page, told: dict | None) -> str:
-    """The article's blocks in page order. told: the host's verdict, or None."""
-    blocks = page.blocks()
-    root = tuple(told["root"]) if told and told["root"] is not None else None
-    if root is None or not any(p[: len(root)] == root and not outside(p) for p, _, _ in blocks):
-        root = main_root([(p, len(t), n) for p, t, n in blocks])
-    if root is None:
-        return ""
+    """The article's blocks in page order; several articles of one kind on a page are one text. told: the host's verdict, or None."""
     fixed = {tuple(x) for x in told["fixed"]} if told else set()
-    made = any("*" in x for x in root)
-    # several articles of one kind on a page are one text
-    keep = [t for p, t, _ in blocks if p[: len(root)] == root and not outside(p) and (made or not fixed or (" ".join(p), zlib.crc32(t.encode("utf-8", "surrogatepass"))) not in fixed)]
-    return " ".join(keep)
+    menus = set(told["menus"]) if told else set()
+
+    def within(root: int) -> list[str]:
+        inside = [root == 0] * len(page.parent)
+        for i in range(1, len(inside)):
+            inside[i] = inside[page.parent[i]] or page.code[i] == root
+        kept = [(page.code[n], t) for n, t, _ in page.blocks if inside[n] and not page.out[n]]
+        return [t for c, t in kept if c not in menus and (c, zlib.crc32(t.encode("utf-8", "surrogatepass"))) not in fixed]
+
+    kept = within(told["root"]) if told and told["root"] is not None else []
+    if not kept and (root := alone(page)) is not None:
+        kept = within(root)
+    return " ".join(kept)
 
 
 # -- over tables -----------------------------------------------------------------------------------------------------
@@ -460,6 +604,7 @@ def induce(pages: DataFrame) -> DataFrame:
     """(host, html) to one row a host: host, verdict as JSON."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
         held: dict[tuple[str, str], list[Item]] = {}
         task = TaskContext.get().partitionId() % SPREAD
 
@@ -482,6 +627,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def level(last: bool):
         def one(group: pd.DataFrame) -> pd.DataFrame:
+            sys.setrecursionlimit(max(FRAMES, sys.getrecursionlimit()))
             known: dict[str, list] = {}
             for w in map(json.loads, group.wrapper):
                 known.setdefault(" ".join(map(form, w)), []).append(w)

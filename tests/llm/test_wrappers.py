@@ -1,6 +1,9 @@
 import html
+import json
 import random
 import re
+import sys
+import time
 
 import pytest
 
@@ -63,15 +66,61 @@ def test_broken_markup():
 def test_deep_pages():
     deep = "<div>" * 200
     assert main_text(Page(f"<article>{deep}<p>One<nav>Menu <b>x</b></nav><p>Two</p>"), None) == "One Two"
+    assert main_text(Page(f"<body>{deep}<article>{deep * 3}<p>One<nav>Menu <b>x</b></nav><p>Two</p>"), None) == "One Two"
     many = Page("<article>" + "".join(f"<div>text {i}" for i in range(5_000)))
     assert main_text(many, None) == " ".join(f"text {i}" for i in range(5_000))
-    assert max(map(len, many.paths)) == wrappers.DEEPEST and stream(many)
-
-
-def test_long_streams_are_aligned_at_their_ends(monkeypatch):
-    pages = [f"<h1>{i}</h1>" + "".join(f"<{t}>{i}{t}</{t}>" for t in tags) + "<p>end</p>" for i, tags in enumerate((["h2", "pre", "h3"], ["h3", "h2"]))]
-    monkeypatch.setattr(wrappers, "ALIGNED", 1)
-    assert render(merged([stream(Page(p)) for p in pages])) == "<h1> #text </> (<h2> =text </>)? (<pre> =text </>)? (<h3> =text </>)? (<h3> =text </>)? (<h2> =text </>)? <p> =text </>"
+    sys.setrecursionlimit(wrappers.FRAMES)  # as tasks do
+    a, b = (json.loads(json.dumps(stream(Page(f"<body>{deep * 3}<p>{i}</p>")))) for i in range(2))
+    w = align(a, b)
+    assert render(w).count("<div>") == wrappers.DEEPEST - 1 and "#text" in render(w)
+
+
+@pytest.mark.parametrize("source", ["<a ", "<a '>", "<a \"'>", "<!--", "<", "<div>", "<script>", "</p>x", "<p>x", "<b>&amp;", "<p title='<'>", "<!x "])
+def test_any_page_is_read_in_seconds(source):
+    at = time.time()
+    page = Page(source * (2_000_000 // len(source)))
+    main_text(page, None)
+    assert time.time() - at < 30
+
+
+def test_repeats_of_any_length_fold():
+    unit = "".join(f"<div class={word(j)}>text {j}</div>" for j in range(40))
+    assert render(stream(Page(unit * 3))).endswith(")+") and len(stream(Page(unit * 3))) == 1
+    r = random.Random(6)
+    for _ in range(300):
+        keys = [r.choice("abc") for _ in range(r.randint(0, 24))]
+        brute = next((u for u in range(1, len(keys) // 2 + 1) if any(keys[i : i + u] == keys[i + u : i + 2 * u] for i in range(len(keys) - 2 * u + 1))), None)
+        assert wrappers.period(keys, 1) == brute
+
+
+def plain_site(n, seed=0):
+    """Pages of one template without telling tags or classes: a long fixed text, a line on a third of the pages, links, a short article, and what the article says."""
+    r = random.Random(seed)
+    say = lambda k: " ".join(r.choice(["tale", "river", "stone", "walked", "under", "never", "old", "light"]) + str(r.randint(0, 99)) for _ in range(k))
+    out = []
+    for i in range(n):
+        paragraphs = [say(r.randint(4, 12)) for _ in range(r.randint(1, 4))]
+        notice = "<div class=qd>The shop is shut until the end of the month, orders wait</div>" if i % 3 == 0 else ""
+        links = "".join(f"<div class=qe><a href=/{k}>{say(2)}</a></div>" for k in range(3))
+        out.append((f"<body><div class=qa><div class=qb>{'Everything that we have done for years is told here in full. ' * 8}</div><div class=qc>{''.join(f'<div>{p}</div>' for p in paragraphs)}{links}{notice}<div class=qf>Reprint with leave of the house only</div></div></div></body>", " ".join(paragraphs)))
+    return out
+
+
+def test_the_wrapper_decides_without_telling_names(spark):
+    pages = plain_site(30)
+    alone = [main_text(Page(h), None) for h, _ in pages]
+    assert not any(a == want for a, (_, want) in zip(alone, pages))
+    df = spark.createDataFrame([(i, "http://p.example/x", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    assert [r.text for r in wrappers.extract(df).orderBy("page_id").collect()] == [want for _, want in pages]
+
+
+def test_the_wrapper_decides_under_article_too(spark):
+    """The same text inside an article on pages that differ is template; on copies of one page it isn't."""
+    pages = [f"<article><p>Shared line of the house</p><h2>Title {i}</h2><ul><li><a href=/>Go {i} one</a></li><li><a href=/>Go {i} two</a></li></ul><p>Body {i} says {i * 7919 % 1000} things at length</p></article>" for i in range(6)]
+    rows = [(i, "http://q.example/", h) for i, h in enumerate(pages)] + [(100 + i, "http://r.example/", pages[0]) for i in range(6)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Title {i} Body {i} says {i * 7919 % 1000} things at length" for i in range(6)]
+    assert got[100] == "Shared line of the house Title 0 Go 0 one Go 0 two Body 0 says 0 things at length"
 
 
 def word(n):
