@@ -79,7 +79,7 @@ class Crf:
         return e
 
     # -- training ------------------------------------------------------------------------------------------------
-    def fit(self, sequences: list[list[str]], tags: list[list[str]], rounds: int = 250, l2: float = 0.02, rate: float = 0.1) -> Crf:
+    def fit(self, sequences: list[list[str]], tags: list[list[str]], rounds: int = 200, l2: float = 0.02, rate: float = 0.2) -> Crf:
         for name, of in (("shape", shape), ("word", word)):
             often = Counter(v for q in sequences for v in {of(t) for t in q})
             seen = sorted({v for v, n in often.items() if n > 1} | {EDGE})
@@ -103,27 +103,34 @@ class Crf:
             np.add.at(g, (r, y), 1)
         np.add.at(gold[-2], (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
         np.add.at(gold[-1], y[first], 1)
+        sums = []  # by block: the rows that occur, and how to add up what their tokens have
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            at = np.nonzero(np.diff(r[order], prepend=-1))[0]
+            sums.append((r[order][at], order, at))
         moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, rounds + 1):
-            e = np.zeros((m, longest, k))
-            e[seq, pos] = sum(weight[r] for r, weight in zip(rows, self.weights))
-            alpha, beta = np.zeros_like(e), np.zeros_like(e)
-            alpha[:, 0] = e[:, 0] + self.start
-            for t in range(1, longest):
-                nxt = np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.trans[None], axis=1) + e[:, t]
-                alpha[:, t] = np.where(live[:, t, None], nxt, alpha[:, t - 1])
+            flat = sum(weight[r] for r, weight in zip(rows, self.weights))
+            e = np.ones((m, longest, k))
+            e[seq, pos] = np.exp(flat - flat.max(1, keepdims=True))
+            go = np.exp(self.trans)
+            # each step is scaled to sum to one, so products stay in range
+            alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((m, longest, 1))
+            for t in range(longest):
+                nxt = e[:, t] * (np.exp(self.start) if t == 0 else alpha[:, t - 1] @ go)
+                total = nxt.sum(1, keepdims=True)
+                alpha[:, t] = nxt / total if t == 0 else np.where(live[:, t, None], nxt / total, alpha[:, t - 1])
+                scale[:, t] = total
             for t in range(longest - 2, -1, -1):
-                prev = np.logaddexp.reduce(self.trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where(live[:, t + 1, None], prev, 0.0)
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None])[seq, pos]
+                prev = ((e[:, t + 1] * beta[:, t + 1]) @ go.T) / scale[:, t + 1]
+                beta[:, t] = np.where(live[:, t + 1, None], prev, 1.0)
+            p = (alpha * beta)[seq, pos]
             want = [np.zeros_like(x) for x in params]
-            for g, r in zip(want, rows):
-                np.add.at(g, r, p)
+            for g, (r, order, at) in zip(want, sums):
+                g[r] = np.add.reduceat(p[order], at, axis=0)
             for t in range(1, longest):
                 on = live[:, t]
-                pair = alpha[on, t - 1, :, None] + self.trans[None] + (e[on, t] + beta[on, t])[:, None, :] - z[on, None, None]
-                want[-2] += np.exp(pair).sum(0)
+                want[-2] += go * (alpha[on, t - 1].T @ (e[on, t] * beta[on, t] / scale[on, t]))
             want[-1] += p[first].sum(0)
             for i, x in enumerate(params):
                 g = gold[i] - want[i] - l2 * x

@@ -2,7 +2,7 @@
 
 email, ip, card and phone come from fixed patterns and checks. A linear-chain CRF over word-shape features adds the
 kinds name, natid, iban and local_phone, whose shapes are ambiguous and need their context. It is trained from a small
-labelled table: by default examples() below, or any table of (text) marked up the same way. A document is cut into
+labelled table, (text) with spans marked [kind text]: that of labelled.py or another. A document is cut into
 sentences of blank-separated tokens; all sentences of a batch are decoded together.
 
 Defined cases: null or empty text has no spans; matches that fail their check are dropped without another try;
@@ -20,9 +20,11 @@ from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_text, per_text, prepare
 from .crf import TRIM_LEFT, TRIM_RIGHT, Crf
+from .labelled import sentences
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("name", "natid", "iban", "local_phone")
@@ -33,6 +35,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Rows of the labelled table that are trained on, at most.
+LABELLED_ROWS = 5000
 TOKEN = re.compile(r"\S+")
 DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -75,33 +79,6 @@ def base_spans(text: str) -> list[Span]:
 MARKED = re.compile(r"\[(\w+) ([^\]]+)\]")
 
 
-def examples() -> list[str]:
-    """The default labelled table: sentences with spans marked [kind text]; half of them have none, with the same shapes in other contexts."""
-    names = ["Ann Miller", "Jorge Díaz", "Li Wei", "Marie Curieux", "Hans Grube", "Olga P. Ivanova", "Sam Okoro", "Zoë Lang", "Peter", "Aisha Khan Bello"]
-    ids, dates = ["078-05-1120", "219-09-9999", "457-55-5462", "123-45-6789"], ["2021-05-11", "11/05/2021", "03.04.1999", "1999-12-31"]
-    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "ES9121000418450200051332"]
-    phones = ["555-0134", "(415) 555-0199", "212-555-0147", "555-010-2030"]
-    parts = ["4471-22-0090", "AB12CD34EF56", "10-20-30", "X99-1234", "12345678", "3.14.15", "978-3-16-148410-0"]
-    out: list[str] = []
-    for i, n in enumerate(names):
-        other = names[(i + 3) % len(names)]
-        out += [f"Dear Mr. [name {n}], thank you for the letter.", f"My name is [name {n}] and I live here.", f"Please ask Dr. [name {n}] about it.", f"Mrs. [name {n}] met Mr. [name {other}] today.", f"Contact: [name {n}], at the office.", f"Signed by Ms. [name {n}] in May."]
-        out += [f"{n} Street is long and the {other} Museum is closed.", f"The {n} Report was read in {other}.", "Thenon Oreati and Elle Ouanaux. Un La Mentoi.", f"On Monday {n} won the cup."]
-    for i, v in enumerate(ids * 3):
-        out += [f"My SSN is [natid {v}] as filed.", f"social security number: [natid {v}]", f"SSN [natid {v}].", f"The part {v} is out of stock.", f"Order {v} was sent on {dates[i % 4]}.", f"Version {v} of the code."]
-    for i, v in enumerate(ibans * 3):
-        out += [f"Pay to IBAN [iban {v}] by Friday.", f"IBAN: [iban {v}]", f"The hash {v} differs.", f"commit {v} broke it", f"serial {v} was found."]
-    for i, v in enumerate(phones * 3):
-        out += [f"Call me at [local_phone {v}] tonight.", f"tel: [local_phone {v}]", f"phone [local_phone {v}], office hours.", f"Fax [local_phone {v}].", f"Pages {v} are missing.", f"The score was {v} at half time.", f"Lot {v} sold for 300."]
-    for i, v in enumerate(parts):
-        out += [f"Item {v} costs 12.99 now.", f"see section {v} of the manual.", f"Is {v} the right key?"]
-    junk = ["thoner$$$", "oueand###", "the&&&", "onor***", "to%%%", "inerwh!!", "ereahe|", "a-b", "x_y", "--", "...", "&amp;", "onor,***", "ed.%%%", "re+", "q=1", "@x", "50%", "$12.50", "10:30", "1,200", "No.7", "Übera", "çoieê", "ñadoí", "THE!!", "3rd", "v2", "C3", "{", "}", "/path/to", "http://x.example/y", "Ones,###", "Sur.***", "Was&&&", "Ed.&&&", "Ñmios###", "Elle.%%%", "A$$$", "Thon$$$"]
-    out += [" ".join(junk[(i * 7 + j * (i + 1)) % len(junk)] for j in range(9)) for i in range(60)]
-    out += [f"{a} Mr.### {b} Dear*** {junk[i]} tel%%% {junk[-i]}" for i, (a, b) in enumerate(zip(junk, reversed(junk)))]
-    out += ["the of and to in is that it was for on are as with", "De la les des et en un une que qui dans pour", "der die das und ist nicht von zu den mit", "que de la el en y los se del las un por con", "Write to a.b@mail.example.com or +1 (555) 555-0100 today.", "Call +1 (743) 555-3824 or 4785380592391139 now", "HELLO!! THE!! ANDENANOU!! HASHWH!!", "a | b | c | d", "Name your price and call it a day.", "The number of the phone was lost.", "Mr. and Mrs. were not in."] * 3
-    return out
-
-
 def parse(marked: str) -> tuple[list[str], list[str]]:
     """Tokens and their B-/I-/O tags."""
     tokens: list[str] = []
@@ -123,9 +100,10 @@ def parse(marked: str) -> tuple[list[str], list[str]]:
 
 @functools.lru_cache(maxsize=4)
 def train(table: tuple[str, ...] | None = None) -> Crf:
-    """Deterministic; about 500 sentences take a second."""
-    rows = [parse(x) for x in (table if table is not None else examples()) if x and x.strip()]
-    kinds = sorted({t[2:] for _, tags in rows for t in tags if t != "O"})
+    """Deterministic, whatever the order of the rows; a hundred sentences take about a second. None: the default table."""
+    rows = [parse(x) for x in sorted(table if table is not None else sentences()) if x.strip()]
+    rows = rows or [(["."], ["O"])]
+    kinds = sorted({t[2:] for _, tags in rows for t in tags if t != "O"}) or ["none"]
     return Crf(["O", *(f"{p}-{k}" for k in kinds for p in "BI")]).fit([t for t, _ in rows], [y for _, y in rows])
 
 
@@ -152,7 +130,7 @@ class Tagger:
     def code(self, token: str) -> int:
         """shape id, word id and whether a sentence ends here, in one number."""
         s, w = self.crf.ids(token)
-        c = (s << 33) | (w << 1) | (token[-1] in ".!?" and token.lower() not in ("mr.", "mrs.", "ms.", "dr.", "prof."))
+        c = (s << 33) | (w << 1) | (token[-1] in ".!?" and not (len(token) == 2 and token[0].isupper()) and token.lower() not in ("mr.", "mrs.", "ms.", "dr.", "prof.", "tel.", "no."))
         if len(self.known) >= self.MEMORY:
             self.known.clear()
         self.known[token] = c
@@ -201,10 +179,10 @@ class Tagger:
                 if run and not (label == f"I-{kind}" and at == run[-1] + 1 and at not in heads):
                     a, b = places[run[0] - int(begin[d])][0], places[run[-1] - int(begin[d])][1]
                     t = texts[d]
-                    while a < b and t[a] in TRIM_LEFT.replace("(", ""):
-                        a += 1
                     while a < b and t[b - 1] in TRIM_RIGHT:
                         b -= 1
+                    while a < b and t[a] in TRIM_LEFT and not (t[a] == "(" and ")" in t[a:b]):
+                        a += 1
                     if a < b:
                         found[d].append((kind, a, b))
                     run = []
@@ -229,10 +207,15 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
     return out
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: Iterable[str] | None = None) -> DataFrame:
-    """One row per document: counts of the base kinds, the hash of the base spans, all spans."""
+def personal_data(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: counts of the base kinds, the hash of the base spans, all spans.
+
+    labelled: (text) with marked spans. Of more than LABELLED_ROWS rows those of the smallest hash are trained on; null
+    and empty ones aren't used, and a table without a mark adds no spans.
+    """
     prepare(docs.sparkSession)
-    tagger = Tagger(train(None if labelled is None else tuple(labelled)))
+    rows = labelled.select("text").dropna().orderBy(F.xxhash64("text"), "text").limit(LABELLED_ROWS).collect()
+    tagger = Tagger(train(tuple(r.text for r in rows)))
 
     def run(texts: list[str]) -> list[list]:
         columns: list[list] = [[] for _ in range(7)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import contamination
+from .labelled import labelled_table
 from .packing import pack
 from .phrases import remove_phrases
 from .pii import personal_data
@@ -20,7 +21,7 @@ from .wrappers import extract
 
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(table(spark, sf_dir, "documents"), labelled_table(spark))
 
 
 def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

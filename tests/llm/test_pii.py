@@ -2,12 +2,14 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from quillon.llm import pii
 from quillon.llm.crf import Crf
+from quillon.llm.labelled import labelled_table, sentences
 
 
 def brute(text):
@@ -70,20 +72,49 @@ def test_skipped_sequences_have_the_all_o_path_best():
             assert not crf.viterbi(crf.emissions(s, w, first), np.array([len(q)])).any()
 
 
+OTHER = {
+    "name": """We wrote to Mr. {n} twice last year.|The house of Mrs. {n} burned down.|Dear Dr. {n}, the results are in.|Hi, my name is {n}, how are you?|Please contact: {n}|Kind regards, {n}|The report was written by {n} in spring.|Then Prof. {n} left the room.
+Name: {n} (owner)|Yesterday Ms. {n} paid the bill.|Later Mr. {n} and Mrs. {n} came.|Dear Mrs. {n}, your order is here.|Frau {n} hat geschrieben.|Monsieur {n} a répondu.|It was signed by Mr. {n} himself.""",
+    "natid": """Her SSN is [natid {s}] and mine is lost.|The form shows SSN [natid {s}] twice.|Give your social security number: [natid {s}]|New hire, SSN: [natid {s}], starts today.|They stored my tax id [natid {s}] in plain text.|His SSN ([natid {s}]) leaked.""",
+    "iban": """The rent goes to IBAN [iban {i}] each month.|Our IBAN is [iban {i}].|Refunds: IBAN: [iban {i}]|Use bank account: [iban {i}] only.|Please transfer it to [iban {i}] today.|Send 300 euros to IBAN [iban {i}].""",
+    "local_phone": """If late, call me at [local_phone {p}] at once.|Office tel: [local_phone {p}]|The phone number is [local_phone {p}] again.|Doctor, phone: [local_phone {p}], mornings.|You may reach me at [local_phone {p}] after six.|Call [local_phone {p}] for a taxi.|Our fax: [local_phone {p}]|Mobile: [local_phone {p}] (evenings)""",
+    "": """Invoice {s} was paid late.|Machine {s} stands idle.|The train {p} was full.|Chapters {p} are dull.|Checksum {i} is wrong.|Batch {i} was burned.|The {N} Bridge is old.|Near {N} the river bends.|{N} lost to {N} on Sunday.|Since {d} nothing moved.|See table {k} there.|Nobody knew the {N} Affair.
+The phone rang all day.|An account of the war by land and sea.|Her name was on all lips.|Mr. and Mrs. stayed at home.|He had a call and left.|ACME {N} Ltd. makes nails.""",
+}
+
+
 def test_held_out_accuracy():
-    """Other names, numbers and wordings than the labelled table has."""
-    want = ["Dear Mr. [name Karl Ostrom], welcome.", "My name is [name Dana Reyes] and I paint.", "Please ask Dr. [name Ines Abadi] about it.", "My SSN is [natid 321-54-9876] as filed.", "SSN [natid 555-12-3456].", "IBAN: [iban NL91ABNA0417164300]", "Pay to IBAN [iban AT611904300234573201] by June.", "tel: [local_phone (202) 555-0163]", "Call me at [local_phone 555-0177] tonight."]
-    clean = ["The Ostrom Reyes Report was read in Paris.", "Order 321-54-9876 was sent.", "serial NL91ABNA0417164300 was found.", "Pages 555-0177 are missing.", "Thenon oreati and the of onan.", "Onor*** the&&& Ones,### is%%%"]
+    """Other names, numbers and wordings than the labelled table has: precision and recall of each kind."""
+    first, last = "Karl Dana Ines Viktor Grace Ravi Elif Simon Julia Kofi".split(), "Ostrom Reyes Abadi Keller Osei Nilsson Varga Tanaka Doyle Kaya".split()
+    lines = sentences(77, OTHER, first, last, rounds=12)
+    assert not set(lines) & set(sentences())
     tagger = pii.Tagger(pii.train())
-    hit = total = 0
-    for line in want:
+    hit, said, true = Counter(), Counter(), Counter()
+    for line in lines:
         text = pii.MARKED.sub(lambda m: m[2], line)
-        spans = [(k, text[a:b]) for k, a, b in tagger.spans([text])[0]]
-        for m in pii.MARKED.finditer(line):
-            total += 1
-            hit += (m[1], m[2]) in spans
-    assert hit >= 0.85 * total
-    assert [tagger.spans([t])[0] for t in clean] == [[]] * len(clean)
+        spans = Counter((k, text[a:b]) for k, a, b in tagger.spans([text])[0])
+        want = Counter((m[1], m[2].rstrip(".")) for m in pii.MARKED.finditer(line))
+        spans = Counter((k, t.rstrip(".")) for k, t in spans.elements())
+        said.update(k for k, _ in spans.elements())
+        true.update(k for k, _ in want.elements())
+        hit.update(k for k, _ in (spans & want).elements())
+    figures = {k: (round(hit[k] / true[k], 3), round(hit[k] / said[k], 3)) for k in pii.ADDED}
+    print(figures)
+    assert all(recall >= 0.9 and precision >= 0.9 for recall, precision in figures.values()), figures
+
+
+def test_words_with_marks_are_no_names(spark):
+    """Over a table of invented prose and junk: no span that the base patterns don't know holds such marks."""
+    tagger = pii.Tagger(pii.train())
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    texts = [r.text or "" for r in real]
+    found = [t[a:b] for t, spans in zip(texts, tagger.spans(texts)) for k, a, b in spans if k == "name"]
+    assert not [x for x in found if re.search(r"[#$%&*!|<>]", x)], found
+
+
+def test_a_table_without_marks_adds_nothing(spark, docs):
+    plain = spark.createDataFrame([("No marks here.",), (None,), ("",)], "text string")
+    assert {r.n_added for r in pii.personal_data(docs, plain).collect()} == {0}
 
 
 def test_batches_agree_with_single_texts():
@@ -93,14 +124,14 @@ def test_batches_agree_with_single_texts():
 
 
 def test_table(spark, docs):
-    rows = pii.personal_data(docs).collect()
+    rows = pii.personal_data(docs, labelled_table(spark)).collect()
     assert len(rows) == docs.count()
     assert [r.spans for r in rows if r.doc_id == 1] == ["email:28:48,phone:57:74"]
     assert all(r.spans == "" for r in rows if r.doc_id in (2, 3, 4))
-    assert pii.personal_data(docs.limit(0)).collect() == []
+    assert pii.personal_data(docs.limit(0), labelled_table(spark)).collect() == []
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts, added = {r.doc_id: r.text for r in real.collect()}, 0
-    for r in pii.personal_data(real).collect():
+    for r in pii.personal_data(real, labelled_table(spark)).collect():
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(want.split(",")) - {""} <= set(r.spans.split(","))
