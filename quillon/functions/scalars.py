@@ -65,6 +65,16 @@ SCALARS: dict[str, tuple[int, int | None, Callable[..., Column]]] = {
     "Floor": (1, 1, F.floor), "Ceil": (1, 1, F.ceil), "Round": (1, 2, lambda c, n=None: F.round(c) if n is None else F.round(c, n)), "Sign": (1, 1, F.signum),
     "Utf8Lower": (1, 1, F.lower), "Utf8Upper": (1, 1, F.upper), "Utf8Length": (1, 1, lambda c: F.length(c).cast("bigint")), "StartsWith": (2, 2, lambda c, s: c.startswith(s)), "EndsWith": (2, 2, lambda c, s: c.endswith(s)),
     "Coalesce": (1, None, lambda *xs: F.coalesce(*xs)), "IsNull": (1, 1, lambda c: c.isNull()), "Hour": (1, 1, lambda c: F.hour(c).cast("bigint")), "Minute": (1, 1, lambda c: F.minute(c).cast("bigint")), "Second": (1, 1, lambda c: F.second(c).cast("bigint")), "Quarter": (1, 1, lambda c: F.quarter(c).cast("bigint")),
+    # text
+    "Utf8Trim": (1, 1, F.trim), "Utf8Ltrim": (1, 1, F.ltrim), "Utf8Rtrim": (1, 1, F.rtrim), "Utf8Reverse": (1, 1, F.reverse), "Utf8Capitalize": (1, 1, F.initcap),
+    "Replace": (3, 3, F.replace), "Substring": (3, 3, lambda c, start, n: F.substr(c, start + F.lit(1), n)), "FindSubstring": (2, 2, lambda c, s: (F.instr(c, s) - 1).cast("bigint")), "Repeat": (2, 2, lambda c, n: F.repeat(c, n.cast("int"))),
+    "LPad": (3, 3, lambda c, n, p: F.call_function("lpad", c, n.cast("int"), p)), "RPad": (3, 3, lambda c, n, p: F.call_function("rpad", c, n.cast("int"), p)), "MatchRegex": (2, 2, F.regexp_like), "ReplaceRegex": (3, 3, F.regexp_replace),
+    # numbers; the sign of a modulus is that of its first argument
+    "Modulo": (2, 2, operator.mod), "IntegerDivide": (2, 2, lambda a, b: F.call_function("div", a, b)), "Trunc": (1, 1, lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))), "RoundHalfToEven": (1, 2, lambda c, n=None: F.bround(c)),
+    "Log2": (1, 1, F.log2), "Log1p": (1, 1, F.log1p), "Sin": (1, 1, F.sin), "Cos": (1, 1, F.cos), "Tan": (1, 1, F.tan), "Asin": (1, 1, F.asin), "Acos": (1, 1, F.acos), "Atan": (1, 1, F.atan), "Atan2": (2, 2, F.atan2), "IsNan": (1, 1, F.isnan),
+    "BitAnd": (2, 2, lambda a, b: a.bitwiseAND(b)), "BitOr": (2, 2, lambda a, b: a.bitwiseOR(b)), "BitXor": (2, 2, lambda a, b: a.bitwiseXOR(b)), "BitNot": (1, 1, F.bitwise_not),
+    "MinElementWise": (2, None, F.least), "MaxElementWise": (2, None, F.greatest), "Xor": (2, 2, lambda a, b: a != b), "IsIn": (2, None, lambda c, *xs: c.isin(*xs)), "DayOfWeek": (1, 1, lambda c: F.weekday(c).cast("bigint")), "DayOfYear": (1, 1, lambda c: F.dayofyear(c).cast("bigint")),
+    "DaysBetween": (2, 2, lambda a, b: F.date_diff(b, a).cast("bigint")), "AddDays": (2, 2, lambda d, n: F.date_add(d, n.cast("int"))),
 }
 
 
@@ -102,8 +112,8 @@ def column(x: Any, rel: Relation, scalars: dict[str, Callable[..., Column]] | No
     if len(args) < least or (most is not None and len(args) > most):
         raise PlanError(f"{head} takes {least if least == most else f'{least} or more' if most is None else f'{least} to {most}'} arguments, not {len(args)}")
     cols = [sub(a) for a in args]
-    if head == "Round" and len(args) == 2:
-        return F.round(cols[0], int(args[1]))
+    if head in ("Round", "RoundHalfToEven") and len(args) == 2:
+        return (F.round if head == "Round" else F.bround)(cols[0], int(args[1]))
     if head in COMPARISONS:
         # a bare YYYY-MM-DD on the right is a date where the left is one
         for i, a in enumerate(args[1:], 1):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..expr import Expr, Symbol
 from ..plans.relation import PlanError, Relation, named
@@ -66,9 +67,16 @@ def size_of(rel: Relation) -> int:
     return int(str(rel.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def numeric(rel: Relation, *columns: str) -> bool:
-    kinds = {f.name: f.dataType.typeName() for f in rel.df.schema}
-    return all(kinds[c] in ("byte", "short", "integer", "long", "float", "double", "decimal") for c in columns)
+def number(rel: Relation, name: str, as_name: str) -> Column | None:
+    """A column as a double that rises with it: numbers, dates as days, times as seconds; None for other types."""
+    kind, c = rel.df.schema[name].dataType, named(as_name)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp").cast("double")
+    return None
 
 
 def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column: Callable[[Expr, Callable[[Symbol], Column | None], Relation], Column], width: float | None = None) -> Relation:
@@ -76,7 +84,8 @@ def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column:
 
     Columns are renamed before joining, so self-joins and clashing names are never ambiguous; predicates use the input
     names, the left side's where both have one. Without an equality a small side is broadcast; two large sides joined
-    by a range of numbers meet in buckets of `width`, or of the ranges' mean length; anything else is a product.
+    by a range of numbers, dates or times meet in buckets of `width`, or of the ranges' mean length; anything else is a
+    product of pairs, which no side is broadcast for.
     """
     left, right = plain(left), plain(right)
     a, b = sides(left, right)
@@ -112,32 +121,76 @@ def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column:
         rest.append(column(p, resolve, joined))
     conditions = [named(f"l.{x}") == named(f"r.{y}") for x, y in keys] + rest
     how = {"inner": "inner", "left": "left", "left_anti": "left_anti"}[kind]
-    if not keys:
-        small = size_of(right) <= SMALL
-        if not small and kind == "inner" and size_of(left) <= SMALL:
-            out = F.broadcast(l).join(r, reduce(lambda x, y: x & y, conditions, F.lit(True)), how)
-            return output(out, left, right, a, b, kind)
-        ranged = [s for s in spans if numeric(left if s[3] else right, s[0]) and numeric(right if s[3] else left, s[1], s[2])]
-        if not small and kind == "inner" and ranged:
-            return output(range_join(l, r, ranged[0], conditions, width), left, right, a, b, kind)
-        right_side = F.broadcast(r) if small else r
-        return output(l.join(right_side, reduce(lambda x, y: x & y, conditions, F.lit(True)), how), left, right, a, b, kind)
-    return output(l.join(r, reduce(lambda x, y: x & y, conditions), how), left, right, a, b, kind)
-
-
-def range_join(l, r, span: tuple[str, str, str, bool], conditions: list[Column], width: float | None):  # noqa: E741
-    """value between low and high, by buckets: a range goes to each bucket that it touches, a value to its own."""
-    v, lo, hi, on_left = span
-    value, ranges = (l, r) if on_left else (r, l)
-    p, q = ("l.", "r.") if on_left else ("r.", "l.")
-    if width is None:
-        mean = ranges.agg(F.avg(named(q + hi).cast("double") - named(q + lo).cast("double"))).first()[0]
-        width = max(float(mean or 1.0), 1e-9)
-    bucket = lambda c: F.floor(named(c).cast("double") / F.lit(width))
-    value = value.withColumn("bucket.v", bucket(p + v))
-    ranges = ranges.where(named(q + lo) <= named(q + hi)).withColumn("bucket.r", F.explode(F.sequence(bucket(q + lo), bucket(q + hi))))
-    left, right = (value, ranges) if on_left else (ranges, value)
-    return left.join(right, reduce(lambda x, y: x & y, conditions, named("bucket.v") == named("bucket.r")), "inner")
+    on = reduce(lambda x, y: x & y, conditions, F.lit(True))
+    if keys:
+        return output(l.join(r, on, how), left, right, a, b, kind)
+    if size_of(right) <= SMALL:
+        return output(l.join(F.broadcast(r), on, how), left, right, a, b, kind)
+    if kind == "inner" and size_of(left) <= SMALL:
+        return output(F.broadcast(l).join(r, on, how), left, right, a, b, kind)
+    for v, lo, hi, on_left in spans:
+        value, ranges, p, q = (left, right, "l.", "r.") if on_left else (right, left, "r.", "l.")
+        numbers = number(value, v, p + v), number(ranges, lo, q + lo), number(ranges, hi, q + hi)
+        kinds = {isinstance(rel.df.schema[c].dataType, T.DateType) for rel, c in ((value, v), (ranges, lo), (ranges, hi))}
+        if all(n is not None for n in numbers) and len(kinds) == 1:
+            return output(range_join(l, r, numbers, on_left, on, how, width), left, right, a, b, kind)
+    if kind == "left_anti" and not rest:
+        return output(l.join(F.broadcast(r.limit(1)), F.lit(True), how), left, right, a, b, kind)
+    if kind != "inner":
+        return output(product(l, r, on, how), left, right, a, b, kind)
+    return output(l.join(r, on, how), left, right, a, b, kind)
+
+
+#: How many buckets a range may touch before it goes to wider ones.
+TOUCHED = 16
+
+
+def range_join(l, r, numbers: tuple[Column, Column, Column], on_left: bool, on: Column, how: str, width: float | None):  # noqa: E741
+    """value between low and high, by buckets: a range goes to each bucket that it touches, a value to its own.
+
+    Longer ranges lie in levels of wider buckets, each TOUCHED times the one before, so a range of any length touches
+    TOUCHED + 1 at most, and a value goes to as many buckets as there are levels: a value and a range meet once. For
+    left and anti joins every left row has a number, by which it is seen afterwards whether any of its copies has met.
+    """
+    value, low, high = numbers
+    values, ranges = (l, r) if on_left else (r, l)
+    length = high - low
+    measured = ranges.agg(F.avg(length), F.max(length)).first()
+    width = width if width is not None else max(float(measured[0] or 1.0), 1e-9)
+    levels = 1
+    while width * TOUCHED**levels < (measured[1] or 0.0) and levels < 64:
+        levels += 1
+    level = sum((F.when(length > F.lit(width * TOUCHED ** (i + 1)), 1).otherwise(0) for i in range(levels - 1)), F.lit(0))
+    bucket = lambda c, n: F.floor(c / (F.lit(width) * F.pow(F.lit(float(TOUCHED)), n)))
+    touched = F.transform(F.sequence(bucket(low, level), bucket(high, level)), lambda x: F.struct(level.alias("level"), x.alias("at")))
+    nowhere = F.array(F.lit(None).cast("struct<level:int,at:bigint>"))
+    ranges_of = lambda df, keep: df.withColumn("bucket.r", F.explode(F.when(low <= high, touched).otherwise(nowhere)) if keep else F.explode(touched)) if keep else df.where(low <= high).withColumn("bucket.r", F.explode(touched))
+    values_of = lambda df: df.withColumn("bucket.v", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), bucket(value, F.lit(i)).alias("at")) for i in range(levels)])))
+    meet = named("bucket.v") == named("bucket.r")
+    if how == "inner":
+        x, y = (values_of(l), ranges_of(r, False)) if on_left else (ranges_of(l, False), values_of(r))
+        return x.join(y, meet & on, "inner")
+    x, y = (values_of, lambda df: ranges_of(df, False)) if on_left else (lambda df: ranges_of(df, True), values_of)
+    return settled(x(l.withColumn("row.l", F.monotonically_increasing_id())), y(r), meet & on, how)
+
+
+def settled(copies, r, on: Column, how: str):
+    """A left or anti join of rows of which there are copies by the number "row.l": a row without a match stays once."""
+    met = copies.join(r.withColumn("hit.r", F.lit(True)), on, "left")
+    row = Window.partitionBy(named("row.l"))
+    met = met.withColumn("any", F.coalesce(F.max(named("hit.r")).over(row), F.lit(False))).withColumn("nth", F.row_number().over(row.orderBy(named("hit.r").asc_nulls_last())))
+    lone = ~F.col("any") & (F.col("nth") == 1)
+    return met.where(lone if how == "left_anti" else named("hit.r").isNotNull() | lone)
+
+
+def product(l, r, on: Column, how: str):  # noqa: E741
+    """A left or anti join on any condition between two large sides. Spark would broadcast the right one whatever its
+    size; here an inner product forms the pairs piece by piece. Rows that are equal match alike, so those without a
+    match are the rows whose values are in no pair."""
+    met = l.join(r.hint("shuffle_replicate_nl"), on, "inner")
+    seen = met.select(*[named(c).alias(f"seen.{c}") for c in l.columns]).distinct()
+    lone = l.join(seen, reduce(lambda x, y: x & y, [named(c).eqNullSafe(named(f"seen.{c}")) for c in l.columns], F.lit(True)), "left_anti")
+    return lone if how == "left_anti" else met.unionByName(lone, allowMissingColumns=True)
 
 
 def output(df, left: Relation, right: Relation, a: dict[str, str], b: dict[str, str], kind: str) -> Relation:

@@ -19,6 +19,8 @@ from .joins import size_of
 #: Tables under this many bytes, by the optimizer's statistics, walk in one task.
 ALONE = 64 << 20
 RANGES = 512
+#: Rows at the edges of ranges that are broadcast, at most.
+EDGES = 1 << 16
 
 
 def ordered(rel: Relation, what: str) -> Relation:
@@ -36,6 +38,8 @@ def ranged(rel: Relation, ranges: int = RANGES) -> Column | None:
     name, descending = rel.order[0]
     if name == f"{HIDDEN}scan":
         return F.shiftright(named(name), 33)
+    if name == f"{HIDDEN}file":
+        return F.struct(named(name), named(f"{HIDDEN}block"))
     kind = rel.df.schema[name].dataType
     if isinstance(kind, T.DateType):
         value = F.unix_date(named(name)).cast("double")
@@ -94,12 +98,20 @@ def pairwise(rel: Relation, name: str, source: str, lag: int, ranges: int | None
         return placed(rel, name, named(source) - F.lag(named(source), lag).over(Window.orderBy(*rel.sort_columns())))
     df = rel.df.withColumn("__range", part)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(F.col("__range").alias("range")).count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*rel.sort_columns()))
-    df = df.join(F.broadcast(totals), F.col("__range") == F.col("range")).withColumn("__row", F.col("__before") + rank)
-    past = df.select((F.col("__row") + lag).alias("__row"), named(source).alias("__past"))
-    df = df.join(past, "__row", "left")
-    return placed(replace(rel, df=df), name, named(source) - F.col("__past"), rel)
+    totals = df.groupBy(F.col("__range").alias("range")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inner = Window.partitionBy("__range").orderBy(*rel.sort_columns())
+    df = df.withColumn("__rank", F.row_number().over(inner)).withColumn("__own", F.lag(named(source), lag).over(inner))
+    df = df.join(F.broadcast(totals), F.col("__range") == F.col("range")).withColumn("__row", F.col("__before") + F.col("__rank"))
+    # within a range the value is at hand; the first rows of one ask for the last rows of those before it
+    past = df.where(F.col("__rank") > F.col("__n") - lag).select((F.col("__row") + lag).alias("__at"), named(source).alias("__past"))
+    past = F.broadcast(past) if lag * ((ranges or RANGES) + 2) <= EDGES and named_ranges(rel) else past
+    df = df.join(past, (F.col("__row") == F.col("__at")) & (F.col("__rank") <= lag), "left")
+    return placed(replace(rel, df=df), name, named(source) - F.when(F.col("__rank") > lag, F.col("__own")).otherwise(F.col("__past")), rel)
+
+
+def named_ranges(rel: Relation) -> bool:
+    """Whether the ranges are quantiles, of which there is a bounded number, and no pieces of a scan."""
+    return rel.order[0][0] not in (f"{HIDDEN}scan", f"{HIDDEN}file")
 
 
 def placed(rel: Relation, name: str, value: Column, shape: Relation | None = None) -> Relation:

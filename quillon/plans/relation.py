@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +65,19 @@ class Relation:
         return Relation(df, symbols=symbols)
 
     def numbered(self) -> Relation:
-        """With the scan's order as a hidden column. The numbers follow partitions and rows; they are no row counts."""
+        """With the scan's order as hidden columns: of several files by file name, place in the file and row, as Spark
+        packs pieces of files into tasks by size; else the row alone. The numbers are no row counts."""
         if self.order or not self.natural:
             return self
-        name = f"{HIDDEN}scan"
-        return replace(self, df=self.df.withColumn(name, F.monotonically_increasing_id()), order=((name, False),), natural=False)
+        names = [f"{HIDDEN}file", f"{HIDDEN}block", f"{HIDDEN}scan"]
+        row = F.monotonically_increasing_id().alias(names[2])
+        if len(self.df.inputFiles()) > 1:
+            try:
+                df = self.df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.file_block_start").alias(names[1]), row)
+                return replace(self, df=df, order=tuple((n, False) for n in names), natural=False)
+            except AnalysisException:  # no plain scan of files, such as a union of them, whose parts stand in order
+                pass
+        return replace(self, df=self.df.select("*", row), order=((names[2], False),), natural=False)
 
     def sorted_by(self, keys: list[tuple[str, bool]]) -> Relation:
         """Ordered by visible columns, then as before."""

@@ -8,9 +8,13 @@ session may register functions. With exact=False the same plans compute in doubl
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .expr import Expr
 from .reader import read_all
@@ -216,6 +220,17 @@ query("join_residual", "(Project (Join lineitem part (Equal l_partkey p_partkey)
 BRACKETS = '(Table (bracket "low" "mid" "high") (low 0 15 35) (high 14 34 60))'
 BRACKETS_SQL = "(VALUES ('low', 0, 14), ('mid', 15, 34), ('high', 35, 60)) AS b(bracket, low, high)"
 query("join_range", f"(Project (Join part {BRACKETS} (Between p_size low high)) p_partkey p_size bracket)", f"SELECT p_partkey, p_size, bracket FROM part JOIN {BRACKETS_SQL} ON p_size BETWEEN low AND high")
+SEASONS = '(Table (season "long" "mid" "day" "none") (first (DateObject "1992-01-01") (DateObject "1995-03-01") (DateObject "1996-07-04") (DateObject "1999-01-01")) (last (DateObject "1998-12-31") (DateObject "1995-03-31") (DateObject "1996-07-04") (DateObject "1998-01-01")))'
+SEASONS_SQL = "(VALUES ('long', DATE '1992-01-01', DATE '1998-12-31'), ('mid', DATE '1995-03-01', DATE '1995-03-31'), ('day', DATE '1996-07-04', DATE '1996-07-04'), ('none', DATE '1999-01-01', DATE '1998-01-01')) AS s(season, first, last)"
+DAYS = "(Project orders (As (Date o_orderdate) day) o_orderkey)"
+query("join_range_dates", f"(Project (Join {DAYS} {SEASONS} (Between day first last)) o_orderkey season)", f"SELECT o_orderkey, season FROM orders JOIN {SEASONS_SQL} ON CAST(o_orderdate AS DATE) BETWEEN first AND last")
+query("join_range_spans", f"(Project (Join {SEASONS} {DAYS} (Between day first last)) o_orderkey season)", f"SELECT o_orderkey, season FROM orders JOIN {SEASONS_SQL} ON CAST(o_orderdate AS DATE) BETWEEN first AND last")
+query("join_left_range", f"(Project (LeftJoin {DAYS} (Filter {SEASONS} (Unequal season \"long\")) (Between day first last)) o_orderkey season)".replace("(Unequal", "(NotEqual"), f"SELECT o_orderkey, season FROM orders LEFT JOIN {SEASONS_SQL} ON CAST(o_orderdate AS DATE) BETWEEN first AND last AND season <> 'long'")
+query("join_anti_range", f"(AntiJoin {DAYS} (Filter {SEASONS} (NotEqual season \"long\")) (Between day first last))", f"SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM {SEASONS_SQL} WHERE CAST(o_orderdate AS DATE) BETWEEN first AND last AND season <> 'long')")
+query("join_left_spans", f"(Project (LeftJoin {SEASONS} (Filter {DAYS} (Less o_orderkey 400)) (Between day first last)) o_orderkey season)", f"SELECT o_orderkey, season FROM {SEASONS_SQL} LEFT JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN first AND last AND o_orderkey < 400")
+query("join_anti_spans", f"(Project (AntiJoin {SEASONS} (Filter {DAYS} (Less o_orderkey 400)) (Between day first last)) season)", f"SELECT season FROM {SEASONS_SQL} WHERE NOT EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN first AND last AND o_orderkey < 400)")
+query("join_left_condition", "(Project (LeftJoin nation supplier (Greater n_nationkey s_suppkey) (Less s_acctbal 0.0)) n_nationkey s_suppkey)", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey > s_suppkey AND s_acctbal < 0")
+query("join_anti_condition", "(AntiJoin nation supplier (Greater n_nationkey s_suppkey) (Less s_acctbal 0.0))", "SELECT * FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE n_nationkey > s_suppkey AND s_acctbal < 0)")
 query("join_left", "(Project (GroupBy (LeftJoin customer (Filter orders (Greater o_totalprice 400000.0)) (Equal c_custkey o_custkey)) (Count o_orderkey) c_custkey) c_custkey (As |count(o_orderkey)| n))", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 GROUP BY 1")
 query("join_left_residual", "(Project (LeftJoin nation supplier (Equal n_nationkey s_nationkey) (Greater s_acctbal 5000.0)) n_name s_name)", "SELECT n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000")
 query("join_anti", "(AntiJoin customer (Filter orders (Greater o_totalprice 400000.0)) (Equal c_custkey o_custkey))", "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -232,6 +247,9 @@ query("name_by_name", "(Name (Filter nation (Less n_nationkey 10)) few) (Join (B
 query("scalar_by_name", "(Name (GroupBy lineitem (Min l_extendedprice)) cheapest) (Project (Filter lineitem (Equal l_extendedprice (ByName cheapest))) l_orderkey l_extendedprice)", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_extendedprice = (SELECT min(l_extendedprice) FROM lineitem)")
 query("hotspot", "(Name (Project events (As (Date ts) day) value event_id) daily) (Project (Join (GroupBy (ByName daily) (Max value) day) (ByName daily) (Equal day day) (Equal |max(value)| value)) (As day_l day) event_id (As value top))", "SELECT CAST(ts AS DATE) AS day, event_id, value AS top FROM events JOIN (SELECT CAST(ts AS DATE) AS d, max(value) AS m FROM events GROUP BY 1) ON CAST(ts AS DATE) = d AND value = m")
 query("materialize", "(Name (Materialize (Filter part (Greater p_size 45))) large) (GroupBy (ByName large) (CountAll) p_type)", 'SELECT p_type, count(*) AS "count_all()" FROM part WHERE p_size > 45 GROUP BY 1')
+query("text_functions", '(Project customer c_custkey (As (Utf8Trim (StringJoin "  " c_mktsegment " ")) a) (As (Replace c_name "#" "-") b) (As (Substring c_name 2 5) c) (As (FindSubstring c_name "0") d) (As (LPad c_mktsegment 12 ".") e) (As (Utf8Reverse c_mktsegment) f))', "SELECT c_custkey, c_mktsegment AS a, replace(c_name, '#', '-') AS b, substr(c_name, 3, 5) AS c, CAST(instr(c_name, '0') - 1 AS BIGINT) AS d, lpad(c_mktsegment, 12, '.') AS e, reverse(c_mktsegment) AS f FROM customer")
+query("number_functions", "(Project part p_partkey (As (Modulo p_partkey 7) a) (As (IntegerDivide p_partkey 7) b) (As (BitAnd p_partkey 12) c) (As (MaxElementWise p_size 20 30) d) (As (IsIn p_size 1 2 3) e) (As (Trunc (Divide (Subtract 25 p_size) 4.0)) f))", "SELECT p_partkey, p_partkey % 7 AS a, p_partkey // 7 AS b, p_partkey & 12 AS c, CAST(greatest(p_size, 20, 30) AS BIGINT) AS d, p_size IN (1, 2, 3) AS e, CAST(trunc((25 - p_size) / 4.0) AS BIGINT) AS f FROM part")
+query("date_functions", '(Project orders o_orderkey (As (DayOfYear o_orderdate) a) (As (AddDays (Date o_orderdate) 30) b) (As (DaysBetween (DateObject "1995-01-01") (Date o_orderdate)) c))', "SELECT o_orderkey, dayofyear(o_orderdate) AS a, CAST(o_orderdate AS DATE) + 30 AS b, datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS c FROM orders")
 query("schema", "(Schema customer)", "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"Columns\"")
 
 
@@ -247,15 +265,11 @@ def symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, repr(session.call(t))) for t in texts], "query string, result string")
 
 
-def range_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join on a range alone by buckets, as two large sides take it."""
-    from .operators import joins
-
-    kept, joins.SMALL = joins.SMALL, -1
-    try:
-        return run(PLANS["join_range"])(spark, sf_dir)
-    finally:
-        joins.SMALL = kept
+def pairwise_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lagged differences over ranges, more rows back than some ranges have."""
+    session = open_session(spark, sf_dir)
+    session.window_ranges = 64
+    return session.dataframe(PLANS["pairwise"].replace("value 7", "value 300"))
 
 
 def cumulate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,11 +279,133 @@ def cumulate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.dataframe(PLANS["cumulate"])
 
 
+def large(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A join as two large sides take it: nothing is broadcast for its size."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators import joins
+
+        kept, joins.SMALL = joins.SMALL, -1
+        try:
+            return run(PLANS[name])(spark, sf_dir)
+        finally:
+            joins.SMALL = kept
+
+    return query
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files of a query's own, under the one that the cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
+    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, lines: list[str]) -> str:
+    """A small text file, wherever the path lies; it goes with the driver."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(p)
+    out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+    out.close()
+    fs.deleteOnExit(p.getParent())
+    return path
+
+
+def nations(spark: SparkSession, sf_dir: str) -> list:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+
+
+def on_files(plan: str, write: Callable[[SparkSession, str, str], None]) -> Callable[[SparkSession, str], DataFrame]:
+    """A plan over files that write(spark, sf_dir, folder) makes of the tables. $DIR stands for the folder."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch(spark)
+        write(spark, sf_dir, folder)
+        return run(plan.replace("$DIR", folder))(spark, sf_dir)
+
+    return query
+
+
+def directory(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Two files with other columns in other order, and one of no known kind."""
+    rows = nations(spark, sf_dir)
+    put(spark, f"{folder}/a b.csv", ["n_nationkey,n_name", *[f"{r.n_nationkey},{r.n_name}" for r in rows if r.n_regionkey == 0]])
+    put(spark, f"{folder}/c.csv", ["n_name,n_nationkey,n_regionkey", *[f"{r.n_name},{r.n_nationkey},{r.n_regionkey}" for r in rows if r.n_regionkey == 1]])
+    put(spark, f"{folder}/d.txt", ["n_nationkey,n_name", "99,none"])
+
+
+def bars(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A file without a header, by the benchmark's columns, and one with a header."""
+    rows = nations(spark, sf_dir)
+    put(spark, f"{folder}/nation.tbl", [f"{r.n_nationkey}|{r.n_name}|{r.n_regionkey}|none|" for r in rows])
+    put(spark, f"{folder}/named.tbl", ["key|label|", *[f"{r.n_nationkey}|{r.n_name}|" for r in rows]])
+
+
+def flagged(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    put(spark, f"{folder}/n.csv", [f"{r.n_nationkey};{r.n_name}" for r in nations(spark, sf_dir)])
+
+
+def uneven(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Rows with fewer fields than the header has, and objects in which fields appear late."""
+    rows = nations(spark, sf_dir)
+    put(spark, f"{folder}/short.csv", ["n_nationkey,n_name,n_regionkey", *[f"{r.n_nationkey},{r.n_name}" + (f",{r.n_regionkey}" if r.n_nationkey % 2 else "") for r in rows]])
+    put(spark, f"{folder}/late.json", [f'{{"n_nationkey": {r.n_nationkey}' + (f', "n_name": "{r.n_name}"' if r.n_nationkey > 4 else "") + (f', "n_regionkey": {r.n_regionkey}' if r.n_nationkey < 20 else "") + "}" for r in rows])
+
+
+def pieces(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """events in order in files of very different sizes, the small ones between large ones."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value").orderBy("event_id").coalesce(1)
+    n = events.count()
+    cuts = [0, n // 50, n // 2, n // 2 + 1, n * 3 // 4, n * 3 // 4 + n // 40, n]
+    numbered = events.withColumn("at", F.monotonically_increasing_id())
+    parts = [numbered.where((F.col("at") >= a) & (F.col("at") < b)).drop("at") for a, b in zip(cuts, cuts[1:])]
+    reduce(DataFrame.union, parts).write.parquet(f"{folder}/events.parquet")
+
+
+def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel's operators, errors as data, and the pipeline of stages."""
+    session = open_session(spark, sf_dir)
+    session.register_stage("twice", lambda x: Expr("Plus", x, x))
+    texts = [
+        '(EvaluateInEngines (List "spark") (Plus 1 2))', '(EvaluateInEngines (List "twice" "spark") 21)', "(EvaluateInEngines (List 7) 1)", "(Minus 9 4)", "(- 9 4)",
+        "(Equals 3 3)", "(GetEngineDescription)", '(SetDefaultEnginePipeline "twice" "spark")', "4", "(ResetEngines)", "5",
+    ]
+    def shown(x) -> str:
+        if isinstance(x, Expr) and str(x.head) == "ErrorWhenEvaluatingExpression":
+            return f"{x.head}: {x.args[1]}"
+        return x.split("\n")[0] if isinstance(x, str) else repr(x)
+
+    return spark.createDataFrame([(t, shown(session.call(t))) for t in texts], "query string, result string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run(text) for name, text in PLANS.items()}
-QUERIES |= {"to_status": status, "symbolic": symbolic, "join_range_buckets": range_buckets, "cumulate_ranges": cumulate_ranges}
+FILES: dict[str, tuple[str, Callable[[SparkSession, str, str], None], str]] = {
+    "load_directory": ('(Load "$DIR")', directory, "SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN n_regionkey END AS n_regionkey, CASE n_regionkey WHEN 0 THEN 'a b.csv' ELSE 'c.csv' END AS \"file name\" FROM nation WHERE n_regionkey < 2"),
+    "load_directory_columns": ('(Load "$DIR" n_name n_regionkey)', directory, "SELECT n_name, CASE WHEN n_regionkey = 1 THEN n_regionkey END AS n_regionkey, CASE n_regionkey WHEN 0 THEN 'a b.csv' ELSE 'c.csv' END AS \"file name\" FROM nation WHERE n_regionkey < 2"),
+    "load_tbl": ('(Load "$DIR/nation.tbl")', bars, "SELECT n_nationkey, n_name, n_regionkey, 'none' AS n_comment FROM nation"),
+    "load_tbl_header": ('(Load "$DIR/named.tbl" label key)', bars, "SELECT n_name AS label, n_nationkey AS key FROM nation"),
+    "load_flags": ('(Project (Load "$DIR/n.csv" (header 0) (separator ";")) (As _c0 k) (As _c1 n))', flagged, "SELECT n_nationkey AS k, n_name AS n FROM nation"),
+    "load_schema": ('(Load "$DIR/n.csv" (header 0) (separator ";") (schema "k bigint, n string"))', flagged, "SELECT n_nationkey AS k, n_name AS n FROM nation"),
+    "load_ragged": ('(Load "$DIR/short.csv")', uneven, "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 1 THEN n_regionkey END AS n_regionkey FROM nation"),
+    "load_padded_before": ('(Load "$DIR/late.json")', uneven, "SELECT n_nationkey, CASE WHEN n_nationkey > 4 THEN n_name END AS n_name, CASE WHEN n_nationkey < 20 THEN n_regionkey END AS n_regionkey FROM nation"),
+    "slice_files": ('(Slice (Load "$DIR/events.parquet") 1234 3456)', pieces, "SELECT event_id, value FROM events ORDER BY event_id LIMIT 3456 OFFSET 1234"),
+    "cumulate_files": ('(Project (Cumulate (Load "$DIR/events.parquet") (Sum value)) event_id (As (Round |sum(value)| 2) total))', pieces, "SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM events"),
+    "pairwise_files": ('(Project (Pairwise (Load "$DIR/events.parquet") change value 9) event_id (As (Round change 6) change))', pieces, "SELECT event_id, round(value - lag(value, 9) OVER (ORDER BY event_id), 6) AS change FROM events"),
+}
+QUERIES |= {name: on_files(plan, write) for name, (plan, write, _) in FILES.items()}
+SQL |= {name: sql for name, (_, _, sql) in FILES.items()}
+QUERIES |= {f"{name}_large": large(name) for name in ("join_range_dates", "join_range_spans", "join_left_range", "join_anti_range", "join_left_spans", "join_anti_spans", "join_left_condition", "join_anti_condition")}
+SQL |= {name: SQL[name.removesuffix("_large")] for name in QUERIES if name.endswith("_large")}
+QUERIES |= {"kernel": kernel, "to_status": status, "symbolic": symbolic, "join_range_buckets": large("join_range"), "cumulate_ranges": cumulate_ranges, "pairwise_ranges": pairwise_ranges}
 SQL |= {
     "to_status": "SELECT 'OK' AS status",
     "symbolic": "SELECT * FROM (VALUES ('(Plus 5 2 2)', '9'), ('(Greater 5 2)', 'True'), ('(StringJoin \"howdie\" \" \" \"world\")', '''howdie world'''), ('(Symbol \"x\")', 'x'), ('(Undefined (Plus 1 2))', '(Undefined 3)'), ('(Assuming t a)', '(Assuming t a)')) AS t(query, result)",
     "join_range_buckets": SQL["join_range"],
     "cumulate_ranges": SQL["cumulate"],
+    "pairwise_ranges": SQL["pairwise"].replace("lag(value, 7)", "lag(value, 300)"),
+    "kernel": """SELECT * FROM (VALUES ('(EvaluateInEngines (List "spark") (Plus 1 2))', '3'), ('(EvaluateInEngines (List "twice" "spark") 21)', '42'),
+        ('(EvaluateInEngines (List 7) 1)', 'ErrorWhenEvaluatingExpression: expected and actual type mismatch in expression "7", expected string'),
+        ('(Minus 9 4)', '5'), ('(- 9 4)', '5'), ('(Equals 3 3)', 'True'), ('(GetEngineDescription)', 'Operators:'),
+        ('(SetDefaultEnginePipeline "twice" "spark")', 'okay'), ('4', '8'), ('(ResetEngines)', 'okay'), ('5', '10')) AS t(query, result)""",
 }

@@ -48,6 +48,7 @@ class Session:
         self.stages: dict[str, Stage] = {"spark": self.compute}
         self.pipeline: list[str] = []
         self._kept: list[DataFrame] = []
+        self._depth = 0
 
     # -- tables --------------------------------------------------------------------------------------------------
     def register_table(self, name: str, df: DataFrame) -> Session:
@@ -144,7 +145,22 @@ class Session:
         return rel.with_rows(rel.df.orderBy(*rel.sort_columns())).visible() if rel.order else rel.visible()
 
     def evaluate(self, x: Any) -> Any:
-        """The value of an expression, or of its text: an atom, a Table, or what is left of it where no operator applies."""
+        """The value of an expression, or of its text: an atom, a Table, or what is left of it where no operator applies.
+
+        Results that Materialize kept are let go when the outermost call returns, unless a table was named since.
+        """
+        kept, names = len(self._kept), dict(self.bindings)
+        self._depth += 1
+        try:
+            return self._evaluate(x)
+        finally:
+            self._depth -= 1
+            if not self._depth and all(names.get(n) is r for n, r in self.bindings.items()):
+                for df in self._kept[kept:]:
+                    df.unpersist()
+                del self._kept[kept:]
+
+    def _evaluate(self, x: Any) -> Any:
         x = read(x) if isinstance(x, str) and not isinstance(x, Symbol) else x
         if isinstance(x, Expr):
             head = str(x.head)

@@ -47,8 +47,12 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], flags: dict[str, Any]) -> DataFrame:
-    """A header line, types from the data, ragged rows padded with null."""
-    return spark.read.csv(path, header=bool(flags.get("header", True)), inferSchema=bool(flags.get("infer", True)), mode="PERMISSIVE", sep=str(flags.get("separator", ",")))
+    """A header line, types from the data, ragged rows padded with null. Types come from all rows; (sample share) reads
+    that share of them instead, and (schema text) none."""
+    reader = spark.read.options(header=bool(flags.get("header", True)), mode="PERMISSIVE", sep=str(flags.get("separator", ",")))
+    if "schema" in flags:
+        return reader.schema(str(flags["schema"])).csv(path)
+    return reader.options(inferSchema=bool(flags.get("infer", True)), samplingRatio=float(flags.get("sample", 1.0))).csv(path)
 
 
 def read_tbl(spark: SparkSession, path: str, columns: list[str], flags: dict[str, Any]) -> DataFrame:
@@ -68,6 +72,18 @@ def read_tbl(spark: SparkSession, path: str, columns: list[str], flags: dict[str
     return df.select(*[named(c) for c in df.columns[: len(fields)]])
 
 
+def read_jdbc(spark: SparkSession, url: str, columns: list[str], flags: dict[str, Any]) -> DataFrame:
+    """A table or query of a database by its JDBC URL: (Load url (table name) column …). The other flags are options of
+    Spark's source, such as user, driver, partitionColumn with lowerBound, upperBound and numPartitions. Filters and
+    columns reach the database; a table has no order."""
+    options = {("dbtable" if k == "table" else k): str(v) for k, v in flags.items()}
+    if not {"dbtable", "query"} & options.keys():
+        raise LoadError(f"{url} needs (table name) or (query text)")
+    df = spark.read.format("jdbc").options(url=url, **options).load()
+    known = {c.lower(): c for c in df.columns}
+    return df.select(*[named(known.get(c.lower(), c)).alias(c) for c in columns]) if columns else df
+
+
 def _number(s: str) -> bool:
     try:
         float(s)
@@ -116,6 +132,8 @@ def load(spark: SparkSession, path: str, args: list[Any]) -> Relation:
     """One file, or all .csv and .tbl files at a directory's top, each tagged with its name. A Parquet or ORC directory is one table."""
     columns, flags = arguments(args)
     try:
+        if path.startswith("jdbc:"):
+            return Relation(read_jdbc(spark, path, columns, flags))
         fs, p = _fs(spark, path)
         if not fs.exists(p):
             raise LoadError(f"{path} does not exist")

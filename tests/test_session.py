@@ -237,3 +237,14 @@ def test_algebra(spark, session):
     assert n(f"(AntiJoin customer {some} {keys})") + matched == n("customer") and n(f"(LeftJoin customer {some} {keys})") >= n("customer")
     last = session.evaluate("(Slice (OrderBy (Cumulate (OrderBy orders (keys o_orderkey)) (Max o_totalprice)) (keys (Desc o_orderkey))) 0 1)")
     assert last.args[-1].args[0] == session.evaluate("(GroupBy orders (Max o_totalprice))").args[0].args[0]
+
+
+def test_kept_results_go_with_their_call(session):
+    session.evaluate("(Materialize (Table (a 1 2)))")
+    assert session._kept == []
+    session.evaluate("(Name (Materialize (Table (a 1 2))) kept)")
+    assert len(session._kept) == 1 and repr(session.evaluate("(ByName kept)")) == "(Table (a 1 2))"
+    session.evaluate("(Materialize (Table (a 3)))")
+    assert len(session._kept) == 1
+    session.evaluate("(ResetEngines)")
+    assert session._kept == []

@@ -95,3 +95,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split("\n")[:3] == ["#t", "3", '"ab"']
     assert main(["--raw", "-p", "(Filter (Table (a 1 2)) (Greater a 1))"]) == 0
     assert capsys.readouterr().out == "(Table (a 2))\n"
+
+
+def test_database(session):
+    """Over JDBC, by the database that comes with Spark: columns, options and errors."""
+    url = "jdbc:derby:memory:quillon;create=true"
+    df = session.spark.createDataFrame([(1, "one"), (2, None)], "id int, name string")
+    df.write.format("jdbc").options(url=url, dbtable="t").mode("overwrite").save()
+    assert sorted(tuple(r) for r in session.dataframe(f'(Load "{url}" (table t) id name)').collect()) == [(1, "one"), (2, None)]
+    assert [tuple(r) for r in session.dataframe(f'(Load "{url}" (query "SELECT * FROM t") id)').collect()] == [(1,), (2,)]
+    assert ev(session, f'(Load "{url}" id)').startswith("'Load::error: ")
+    plan = session.dataframe(f'(Project (Filter (Load "{url}" (table t)) (Greater id 1)) id)')._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(id), *GreaterThan(id,1)]" in plan and "ReadSchema: struct<id:int>" in plan
+
+
+def test_csv_types_without_reading_all_rows(session, folder):
+    assert ev(session, f'(Load "{folder}/a b.csv" (schema "id int, x string"))') == '(Table (id 1 2) (x "one" "two"))'
+    assert ev(session, f'(Load "{folder}/a b.csv" (sample 0.5) x)') == '(Table (x "one" "two"))'
