@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import contamination
@@ -60,7 +61,20 @@ def op10_sharding_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op3_html_wrappers, op4_simhash_balls, op5_packing_hilbert, op6_substring_dedup, op7_decontamination_prefix_join, op8_quality_isolation_forest, op9_phrase_automata, op10_sharding_bounded_ring)}
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 8 SQL can express: the counts and the base verdict."""
+    return op8_quality_isolation_forest(spark, sf_dir).drop("kept", "anomaly")
+
+
+def sharding_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 10 SQL can express: each row with its size, and how shards and slots add up."""
+    rows = op10_sharding_bounded_ring(spark, sf_dir)
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).groupBy().agg(
+        F.count("*").alias("shards"), F.sum("n").alias("documents"), (F.max("n") - F.min("n")).alias("spread"), F.sum((F.col("slots") == F.col("n")).cast("int") * (F.col("last") == F.col("n") - 1).cast("int")).alias("gapless")
+    ).crossJoin(F.broadcast(rows.agg(F.sum("size").alias("bytes"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_crf, op2_secret_linking, op3_html_wrappers, op4_simhash_balls, op5_packing_hilbert, op6_substring_dedup, op7_decontamination_prefix_join, op8_quality_isolation_forest, op9_phrase_automata, op10_sharding_bounded_ring, quality_base_rules, sharding_balance)}
 #: Windows of every length that items have, as the query's; a document's words are numbered once and joined on the window's words.
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -99,4 +113,19 @@ kept AS (SELECT r, string_agg(w[p], ' ' ORDER BY p) AS k FROM (SELECT r, w, p FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op7_decontamination_prefix_join": OP7_SQL, "op9_phrase_automata": OP9_SQL}
+#: The words of each text are numbered once; windows of three words that occur again cover the repeated ones.
+BASE_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+three AS (SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS s FROM w, unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) > 2),
+again AS (SELECT r, s FROM three GROUP BY r, s HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM three JOIN again USING (r, s), unnest(range(i, i + 3)) AS t(p) GROUP BY r),
+lines AS (SELECT r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+ FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+BALANCE_SQL = "SELECT CAST(least(24, count(*)) AS BIGINT) AS shards, count(*) AS documents, CAST(CASE WHEN count(*) % 24 = 0 THEN 0 ELSE 1 END AS BIGINT) AS spread, CAST(24 AS BIGINT) AS gapless, CAST(sum(octet_length(encode(coalesce(text, ''))) + 8) AS BIGINT) AS bytes FROM documents"
+
+ORACLE: dict[str, str] = {"quality_base_rules": BASE_RULES_SQL, "sharding_balance": BALANCE_SQL, "op6_substring_dedup": OP6_SQL, "op7_decontamination_prefix_join": OP7_SQL, "op9_phrase_automata": OP9_SQL}

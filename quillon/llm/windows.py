@@ -266,7 +266,7 @@ def replies(group: pd.DataFrame, code: np.ndarray, width: int, holders: list[np.
 def settled(asked: DataFrame, answer: Callable[[pd.DataFrame, bool], pd.DataFrame], kinds: list[np.dtype], chunks: int, tell: bool) -> DataFrame:
     """The answers to all chunks. kinds: of the two columns that tell values apart, and of the flags; tell: also which chunks have a value."""
     if chunks <= FAN:
-        return asked.groupBy("bucket").applyInPandas(lambda group: answer(group, tell), ANSWER)
+        return asked.groupBy("home", "bucket").applyInPandas(lambda group: answer(group, tell), ANSWER)
     parts = -(-chunks // FAN)
     width = sum(k.itemsize for k in kinds)
     asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))))
@@ -278,7 +278,7 @@ def settled(asked: DataFrame, answer: Callable[[pd.DataFrame, bool], pd.DataFram
         again, often = more | (np.bincount(of, flags & 1, len(first)) > 0), np.bincount(of, flags > 1, len(first)) > 0
         columns = a[first], b[first], again.astype(np.uint8) + 2 * often.astype(np.uint8)
         noted = b"".join(x.tobytes() for x in extremes(group, width, of, len(first)))
-        return pd.DataFrame({"bucket": group.bucket[:1], "chunk": group.part[:1], "values": [b"".join(c.tobytes() for c in columns)], "holders": [noted]})
+        return pd.DataFrame({"bucket": group.bucket[:1], "chunk": group.part[:1], "values": [b"".join(c.tobytes() for c in columns)], "holders": [noted], "home": group.home[:1]})
 
     def spread(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
@@ -309,7 +309,7 @@ def elsewhere(answers: list | None, chunk: int) -> np.ndarray:
     return np.where(low != chunk, low, high)
 
 
-ASKED = "bucket long, chunk long, values binary, holders binary"
+ASKED = "bucket long, chunk long, values binary, holders binary, home long"
 ANSWER = "chunk long, bucket long, codes binary, holders binary"
 
 
@@ -346,6 +346,16 @@ def numbers(task: int, parts: int) -> Iterator[tuple[int, int]]:
             at = int(ahead[-1]) + 1
 
 
+def homes(parts: int) -> np.ndarray:
+    """For each of so many tasks a number that Spark's hash deals to it."""
+    at, out = 0, np.full(parts, -1, np.int64)
+    while (out < 0).any():
+        ahead = np.arange(at, at + 4 * parts + 64)
+        out[(spark_hash(ahead) % parts)[::-1]] = ahead[::-1]
+        at += len(ahead)
+    return out
+
+
 class Corpus:
     """The documents as compressed chunks in shared storage, bucketed by chunk. close() takes the table out of the catalog and its files away."""
 
@@ -354,7 +364,7 @@ class Corpus:
         rows = id_text(docs, id_col, text_col)
         whole = rows.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size")).first()
         self.tasks = parts = tasks(whole["size"] or 0, spark.sparkContext.defaultParallelism)
-        self.size = whole["size"] or 0
+        self.size, self.homes = whole["size"] or 0, homes(parts)
 
         def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids: list = []
@@ -394,16 +404,17 @@ class Corpus:
         remove(spark, self.path)
 
     def ask(self, rows: DataFrame, fn: Callable, extra: list[str]) -> DataFrame:
-        """Run fn(chunk, texts, *extra) over the chunks; it yields rows (bucket, chunk, values), which are dealt by bucket."""
+        """Run fn(chunk, texts, *extra) over the chunks; it yields rows (bucket, chunk, values), which are dealt by bucket, in turn to all tasks."""
+        home, parts = self.homes, self.tasks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     got = list(fn(batch.column("chunk")[i].as_py(), unpack(batch, i), *(batch.column(c)[i].as_py() for c in extra)))
                     b, c, v = zip(*got) if got else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary()), pa.nulls(len(b), pa.binary())], ["bucket", "chunk", "values", "holders"])
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary()), pa.nulls(len(b), pa.binary()), pa.array(home[np.array(b, np.int64) % parts], pa.int64())], ["bucket", "chunk", "values", "holders", "home"])
 
-        return rows.select("chunk", "lengths", "raw", *extra).mapInArrow(run, ASKED).repartition(self.tasks, "bucket")
+        return rows.select("chunk", "lengths", "raw", *extra).mapInArrow(run, ASKED).repartition(self.tasks, "home")
 
     def collect(self, answers: DataFrame, name: str) -> DataFrame:
         """One row a chunk: as many answers as it asked buckets, so no more than its values. Dealt as the chunks are, so they meet without moving text."""
