@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows in one Arrow batch. Texts may be long, so batches stay far under Spark's 10,000 rows.
 BATCH_ROWS = 256
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 #: This package's root, made importable on the executors.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -56,8 +56,8 @@ class Vocabulary:
     tokenizer does, goes straight to its merges; any other part takes the tokenizer's whole way.
     """
 
-    PARTS = 900_000
-    WORDS = 500_000
+    PARTS = 500_000
+    WORDS = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -34,6 +34,7 @@ from pyspark.sql.types import MapType
 
 from .common import id_text, materialize, per_text, prepare
 from .graph import connected_components
+from .windows import mix
 
 WORDS = 3
 SEED = 42
@@ -41,13 +42,24 @@ RADIUS = 3
 BLOCKS = 6
 #: Shingles of a text that are hashed and counted at a time.
 SLICE = 1 << 15
+#: Fingerprints by which keep_one() looks for near-duplicates.
+SEVERAL = 4
+GOLDEN = 0x9E3779B97F4A7C15
 HALVES = (range(32), range(32, 64))
 
 
 def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """The SimHash of each text, as unsigned 64-bit numbers. bytes.lower() and bytes.split() touch ASCII letters and the six ASCII blanks only."""
+    """The SimHash of each text, as unsigned 64-bit numbers."""
+    return several_fingerprints(texts, 1, words)[:, 0]
+
+
+def several_fingerprints(texts: list[str], several: int, words: int = WORDS) -> np.ndarray:
+    """By text so many SimHashes, the first by the shingles' own hashes and the others by those hashes mixed anew.
+
+    bytes.lower() and bytes.split() touch ASCII letters and the six ASCII blanks only.
+    """
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), several), dtype=np.uint64)
     for d, text in enumerate(texts):
         parts = text.encode("utf-8", "surrogatepass").lower().split()
         if not parts:
@@ -58,11 +70,13 @@ def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
             starts, stops = [0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist()
         else:
             starts, stops = [0], [len(norm)]
-        votes = np.zeros(64, dtype=np.int64)
+        votes = np.zeros((several, 64), dtype=np.int64)
         for i in range(0, len(starts), SLICE):
             h = np.array([digest(norm[a:b], SEED) for a, b in zip(starts[i : i + SLICE], stops[i : i + SLICE])], dtype=np.uint64)
-            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[d] = np.packbits(2 * votes > len(starts), bitorder="little").view(np.uint64)[0]
+            for k in range(several):
+                x = mix(h + np.uint64(k * GOLDEN & (1 << 64) - 1)) if k else h
+                votes[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[d] = np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -114,9 +128,33 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def groups_by_several(rows: DataFrame, least: Column, several: int) -> DataFrame:
+    """(root, least): the groups of rows that are linked by any of their fingerprints fp0, fp1, …, and what least says of each.
+
+    Rows of equal fingerprints are a class. By each fingerprint, classes fall into components; a component with two
+    classes or more is a node beside them, and the components of that graph are the groups.
+    """
+    names = [f"fp{k}" for k in range(several)]
+    classes = materialize(rows.groupBy(*names).agg(least.alias("least")).withColumn("class", F.xxhash64(*names)))
+    edges = None
+    for k, name in enumerate(names):
+        points = materialize(classes.select(F.col(name).alias("fp")).distinct())
+        roots = connected_components(links(points))
+        part = classes.join(roots, F.col(name) == F.col("node"), "left").select("class", F.xxhash64(F.lit(k), F.coalesce("root", F.col(name))).alias("part"))
+        edges = part if edges is None else edges.union(part)
+    edges = materialize(edges)
+    shared = edges.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    roots = connected_components(edges.join(shared, "part", "left_semi").select(F.col("class").alias("a"), F.col("part").alias("b")))
+    named = classes.join(roots, F.col("class") == F.col("node"), "left").select("least", F.coalesce("root", "class").alias("root"))
+    return named.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near-duplicates: of each group exactly one row stays.
 
+    Rows are linked that differ by RADIUS bits or fewer in any of SEVERAL fingerprints. One fingerprint finds few of the
+    texts of a similarity near 0.8, as their bits differ by ten or so; each further one finds some of the others.
+
     It is that of the smallest id, null ids last; of rows of that id the one whose text has the smallest SHA-256, null
     first; of those the one of the smallest hash of all columns that aren't maps. Null and empty texts form one group;
     rows of null ids are told apart by their text, so they meet under no single key; the names of helper columns are
@@ -124,18 +162,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prepare(docs.sparkSession)
     number, digest = F.col(id_col).cast("long"), F.coalesce(F.sha2(text_col, 256), F.lit(""))
+    names = [f"fp{k}" for k in range(SEVERAL)]
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array(fingerprints(batch.column(3).to_pylist()).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp], ["doc_id", "digest", "tie", "fp"])
+            fps = several_fingerprints(batch.column(3).to_pylist(), SEVERAL).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, fps.T.copy())], ["doc_id", "digest", "tie", *names])
 
     texts = docs.select(number.alias("doc_id"), digest.alias("digest"), tie.alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialize(texts.mapInArrow(run, "doc_id long, digest string, tie long, fp long"))
+    rows = materialize(texts.mapInArrow(run, ", ".join(["doc_id long, digest string, tie long", *(f"{n} long" for n in names)])))
     # a row is known by its id, whether that is null, its text's digest and the hash of all, so one shuffle serves the join and the removal of repeated rows
-    names = [f"quillon_{uuid.uuid4().hex}" for _ in range(4)]
-    key = lambda i, d, t: [c.alias(n) for c, n in zip((F.coalesce(i, F.lit(0)), i.isNull(), d, t), names)]
+    keys = [f"quillon_{uuid.uuid4().hex}" for _ in range(4)]
+    key = lambda i, d, t: [c.alias(n) for c, n in zip((F.coalesce(i, F.lit(0)), i.isNull(), d, t), keys)]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "tie"))
-    stay = rooted(rows, least).groupBy("root").agg(F.min("least").alias("least")).select(*key(*(F.col(f"least.{c}") for c in ("doc_id", "digest", "tie"))))
-    return docs.select("*", *key(number, digest, tie)).join(stay, names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])
+    stay = groups_by_several(rows, least, SEVERAL).select(*key(*(F.col(f"least.{c}") for c in ("doc_id", "digest", "tie"))))
+    return docs.select("*", *key(number, digest, tie)).join(stay, keys, "left_semi").dropDuplicates(keys).select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,7 @@ import corpus_pipeline
 from quillon.llm import packing, quality, secrets
 from test_decontam import brute as contaminated
 from test_packing import check
-from test_simhash import components, fp_brute
+from test_simhash import components, several_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark):
         assert docs.columns == columns
         if name == "near_duplicates":
             ids = sorted(want)
-            group = components([fp_brute(want[i]) for i in ids])
+            group = components([several_brute(want[i]) for i in ids])
             want = {ids[c]: want[ids[c]] for c in set(group)}
         elif name == "decontamination":
             bad = {r[0] for r in contaminated(list(want.items()), items) if r[-1]}

@@ -17,6 +17,26 @@ def fp_brute(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def several_brute(text):
+    """The fingerprint and those by hashes mixed anew, all in plain integers."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    sh = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 29)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 32)
+
+    out = []
+    for k in range(simhash.SEVERAL):
+        xs = [mixed(h + k * 0x9E3779B97F4A7C15 & full) if k else h for h in hs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs)))
+    return tuple(out)
+
+
 def components(fps):
     parent = list(range(len(fps)))
 
@@ -27,7 +47,7 @@ def components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if any((a ^ b).bit_count() <= 3 for a, b in (zip(fps[i], fps[j]) if isinstance(fps[i], tuple) else [(fps[i], fps[j])])):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(fps))]
 
@@ -35,6 +55,7 @@ def components(fps):
 def test_fingerprints():
     texts = ["", " ", "a", "A b", "One two three", "one TWO\tthree four\xa0five É é", "x " * 700, "a b c a b c a b c", "\x1fq w\x0be"]
     assert simhash.fingerprints(texts).tolist() == [fp_brute(t) for t in texts]
+    assert list(map(tuple, simhash.several_fingerprints(texts, simhash.SEVERAL).tolist())) == [several_brute(t) for t in texts]
 
 
 def test_links_against_all_pairs(spark):
@@ -92,8 +113,7 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     a, b, c, d, e = texts
     rows = [(None, a), (None, a + " x"), (None, b), (1, b + " x"), (7, c), (7, d), (3, d + " x"), (7, e), (7, e + " x"), (7, e), (8, e + " y")]
     kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
-    fps = [fp_brute(t) for _, t in rows]
-    groups = components(fps)
+    groups = components([several_brute(t) for _, t in rows])
     assert len(set(groups)) == 5 and len(kept) == 5
     order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
     want = [min((r for r, g in zip(rows, groups) if g == k), key=order) for k in set(groups)]
