@@ -5,7 +5,8 @@ radius: one side of a pair moves one bit and the other two, so each emits its ba
 two of any three bits lie in one half of the word, those two-bit variants whose bits share a half (992). Pairs meet on
 a common variant. Fingerprints within one bit of a variant are within two of each other, and one within two bits is
 within three of those, so each meeting links its members to its smallest one-bit member: every link is right by
-construction, and no pairs within a group are formed. A variant can only have as many members as its ball has points,
+construction, and no pairs within a group are formed. Fingerprints that balls of radius 1 link are one thing by then,
+so only meetings of different ones count. A variant can only have as many members as its ball has points,
 so no variant is a hot key. Two joins have keys that may be hot: the block keys of the filter, which distinct
 fingerprints share where texts are alike, and the fingerprints when they are joined back to rows, which all copies of a
 text share. Both join many narrow rows to one row a key, and adaptive execution splits the many.
@@ -105,10 +106,15 @@ def links(points: DataFrame) -> DataFrame:
     ms = masks()
     near = F.transform(F.array(*[F.lit(m) for m in ms[:65]]), lambda m: m.bitwiseXOR(F.col("fp")))
     ball = F.transform(F.array(*[F.lit(m) for m in ms]), lambda m: m.bitwiseXOR(F.col("fp")))
-    centre = able.select("fp", F.explode(near).alias("v")).groupBy("v").agg(F.min("fp").alias("centre"))
-    met = able.select("fp", F.explode(ball).alias("v")).join(centre.hint("shuffle_hash"), "v").where("fp <> centre")
-    out = materialize(met.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
-    return out
+    around = able.select("fp", F.explode(near).alias("v"))
+    centre = materialize(around.groupBy("v").agg(F.min("fp").alias("centre"), F.count("*").alias("n")))
+    # what the small balls link is one thing from here on, so that a dense group meets itself but once in the large ones
+    close = materialize(around.join(centre.where("n > 1"), "v").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
+    part = materialize(connected_components(close))
+    of = lambda df, c, name: df.join(part.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    centre = of(centre, "centre", "there").select("v", "there")
+    met = of(able, "fp", "here").select("here", F.explode(ball).alias("v")).join(centre.hint("shuffle_hash"), "v").where("here <> there")
+    return materialize(close.union(met.select(F.col("here").alias("a"), F.col("there").alias("b")).distinct()))
 
 
 def rooted(rows: DataFrame, least: Column) -> DataFrame:
