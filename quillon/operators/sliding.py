@@ -53,16 +53,20 @@ def ranged(rel: Relation, ranges: int = RANGES) -> Column | None:
     cuts = sorted(set(cuts or []))
     if not cuts:
         return None
-    # how many cuts lie below the value, in two steps of about the root of their number each
-    step = math.isqrt(len(cuts) - 1) + 1
-    below = lambda xs: F.size(F.filter(xs, lambda c: c < value)).cast("long")
-    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) if cuts[step - 1 :: step] else F.lit(0).cast("long")
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    at = coarse * step + F.coalesce(below(F.get(fine, coarse.cast("int"))), F.lit(0)).cast("long")
+    at = below(value, cuts)
     at = F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(at)
     return F.when(value.isNull(), at).otherwise(-at) if descending else at
 
 
+def below(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts lie below the value, in two steps of about the root of their number each; null for null."""
+    step = math.isqrt(len(cuts) - 1) + 1
+    count = lambda xs: F.size(F.filter(xs, lambda c: c < value)).cast("long")
+    coarse = count(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])) if cuts[step - 1 :: step] else F.lit(0).cast("long")
+    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
+    return F.when(value.isNotNull(), coarse * step + F.coalesce(count(F.get(fine, coarse.cast("int"))), F.lit(0)).cast("long"))
+
+
 def cumulate(rel: Relation, name: str, head: str, source: str, ranges: int | None = None) -> Relation:
     """Append the running aggregate of a column, each row with all before it and itself; ties in the order count row by row."""
     rel = ordered(rel, "Cumulate")

@@ -7,16 +7,17 @@ session may register functions. With exact=False the same plans compute in doubl
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .expr import Expr
+from .operators.sliding import below
 from .reader import read_all
 from .session import Session
 
@@ -353,14 +354,24 @@ def uneven(spark: SparkSession, sf_dir: str, folder: str) -> None:
     put(spark, f"{folder}/late.json", [f'{{"n_nationkey": {r.n_nationkey}' + (f', "n_name": "{r.n_name}"' if r.n_nationkey > 4 else "") + (f', "n_regionkey": {r.n_regionkey}' if r.n_nationkey < 20 else "") + "}" for r in rows])
 
 
+#: Rows that a file of pieces() has at most, about.
+PIECE = 250_000
+
+
 def pieces(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """events in order in files of very different sizes, the small ones between large ones."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value").orderBy("event_id").coalesce(1)
-    n = events.count()
-    cuts = [0, n // 50, n // 2, n // 2 + 1, n * 3 // 4, n * 3 // 4 + n // 40, n]
-    numbered = events.withColumn("at", F.monotonically_increasing_id())
-    parts = [numbered.where((F.col("at") >= a) & (F.col("at") < b)).drop("at") for a, b in zip(cuts, cuts[1:])]
-    reduce(DataFrame.union, parts).write.parquet(f"{folder}/events.parquet")
+    """events in order in files of very different sizes, the small ones between large ones: shares of the rows, and the
+    middle row alone. Large shares take more files, so that each is sorted by itself; null ids stand last."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    n = max(1, events.count())
+    small = min(0.02, 0.1 * PIECE / n)
+    shares, ends = [0, small, 0.5, 0.75, 0.75 + small, 1], []
+    for a, b in zip(shares, shares[1:]):
+        files = math.ceil((b - a) * n / PIECE)
+        ends += [a + (b - a) * i / files for i in range(1, files + 1)]
+    middle, *cuts = events.agg(F.percentile_approx("event_id", [0.5, *ends[:-1]], max(10000, 20 * len(ends)))).first()[0] or [0]
+    cuts = sorted({*cuts, middle - 1, middle})
+    at = F.coalesce(below(F.col("event_id"), cuts).cast("int"), F.lit(len(cuts)))
+    events.repartitionById(len(cuts) + 1, at).sortWithinPartitions(F.col("event_id").asc_nulls_last()).write.parquet(f"{folder}/events.parquet")
 
 
 def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,21 @@ def test_database(session):
 def test_csv_types_without_reading_all_rows(session, folder):
     assert ev(session, f'(Load "{folder}/a b.csv" (schema "id int, x string"))') == '(Table (id 1 2) (x "one" "two"))'
     assert ev(session, f'(Load "{folder}/a b.csv" (sample 0.5) x)') == '(Table (x "one" "two"))'
+
+
+def test_pieces_are_files_of_bounded_size_in_order(spark, session, tmp_path, monkeypatch):
+    """The files of slice_files and its like: several, each with few rows, small ones between large ones; read back in order."""
+    from pyspark.sql import functions as F
+
+    from quillon import queries
+
+    monkeypatch.setattr(queries, "PIECE", 500)
+    ids = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id") * 3).alias("event_id"), F.col("id").cast("double").alias("value"))
+    ids.repartition(5, "value").write.parquet(f"{tmp_path}/events.parquet")
+    queries.pieces(spark, str(tmp_path), f"{tmp_path}/out")
+    table = spark.read.parquet(f"{tmp_path}/out/events.parquet").groupBy(F.input_file_name().alias("file"))
+    sizes = [r.n for r in table.agg(F.count("*").alias("n")).orderBy("file").collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 600 and len(sizes) >= 12
+    assert 1 in sizes[1:-1] and min(sizes[sizes.index(1) - 1], sizes[sizes.index(1) + 1]) > 100
+    out = session.dataframe(f'(Slice (Load "{tmp_path}/out/events.parquet") 0 5000)').collect()
+    assert [r.event_id for r in out] == [*range(3, 15000, 3), None]
