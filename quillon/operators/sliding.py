@@ -17,7 +17,7 @@ from ..plans.relation import HIDDEN, PlanError, Relation, named
 from .joins import size_of
 
 #: Tables under this many bytes, by the optimizer's statistics, walk in one task.
-ALONE = 64 << 20
+ALONE = 8 << 20
 RANGES = 512
 #: Rows at the edges of ranges that are broadcast, at most.
 EDGES = 1 << 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,22 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def short(path: Column, files: list[str]) -> Column:
+    """The part of a file's path that tells it from the others and sorts like it: each row bears it through the sorts.
+
+    Only what follows the folder of all is used, as a scheme may be written in two ways; files at different depths keep
+    their whole paths."""
+    parts = [f.split("/") for f in files]
+    if len({len(p) for p in parts}) > 1:
+        return path
+    same = next((i for i, xs in enumerate(zip(*parts)) if len(set(xs)) > 1), 0)
+    tails = sorted({"/".join(p[same:]) for p in parts})
+    # sorted neighbours share the most
+    shared = [len(os.path.commonprefix(pair)) for pair in zip(tails, tails[1:])]
+    start = len(os.path.commonprefix(tails))
+    return F.substring(F.substring_index(path, "/", same - len(parts[0])), start + 1, max(shared, default=0) + 1 - start)
+
+
 @dataclass(frozen=True)
 class Relation:
     """df with its hidden columns. order: (hidden column, descending) in precedence. natural: rows stand in the order of
@@ -71,9 +88,10 @@ class Relation:
             return self
         names = [f"{HIDDEN}file", f"{HIDDEN}block", f"{HIDDEN}scan"]
         row = F.monotonically_increasing_id().alias(names[2])
-        if len(self.df.inputFiles()) > 1:
+        files = self.df.inputFiles()
+        if len(files) > 1:
             try:
-                df = self.df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.file_block_start").alias(names[1]), row)
+                df = self.df.select("*", short(F.col("_metadata.file_path"), files).alias(names[0]), F.col("_metadata.file_block_start").alias(names[1]), row)
                 return replace(self, df=df, order=tuple((n, False) for n in names), natural=False)
             except AnalysisException:  # no plain scan of files, such as a union of them, whose parts stand in order
                 pass

@@ -130,3 +130,21 @@ def test_pieces_are_files_of_bounded_size_in_order(spark, session, tmp_path, mon
     assert 1 in sizes[1:-1] and min(sizes[sizes.index(1) - 1], sizes[sizes.index(1) + 1]) > 100
     out = session.dataframe(f'(Slice (Load "{tmp_path}/out/events.parquet") 0 5000)').collect()
     assert [r.event_id for r in out] == [*range(3, 15000, 3), None]
+
+
+def test_short_names_of_files_sort_like_their_paths(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.plans.relation import short
+
+    r = random.Random(3)
+    for depth in (1, 2):
+        files = list({"file:///a b/" + "/".join("p" + "".join(r.choice("0-_é") for _ in range(r.randint(0, 6))) for _ in range(depth)) for _ in range(60)})
+        df = spark.createDataFrame([(f.replace("///", "/"),) for f in files], "f string")
+        rows = [tuple(x) for x in df.select("f", short(F.col("f"), files)).collect()]
+        assert len({s for _, s in rows}) == len(files)
+        utf8 = lambda s: s.encode()
+        assert [f for f, _ in sorted(rows, key=lambda x: utf8(x[1]))] == sorted((f for f, _ in rows), key=utf8)
+    assert spark.range(1).select(short(F.lit("file:/a/b/c"), ["file:///a/b/c", "file:///a/d"])).first()[0] == "file:/a/b/c"
