@@ -148,3 +148,20 @@ def test_short_names_of_files_sort_like_their_paths(spark):
         utf8 = lambda s: s.encode()
         assert [f for f, _ in sorted(rows, key=lambda x: utf8(x[1]))] == sorted((f for f, _ in rows), key=utf8)
     assert spark.range(1).select(short(F.lit("file:/a/b/c"), ["file:///a/b/c", "file:///a/d"])).first()[0] == "file:/a/b/c"
+
+
+@pytest.mark.parametrize("name", ["slice_files", "cumulate_files", "pairwise_files"])
+def test_queries_over_files_meet_several(spark, name):
+    """Their order goes by file, and Cumulate and Pairwise cut into ranges of files give what one task does."""
+    from quillon import queries
+    from quillon.operators import sliding
+
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "__order_file" in df._jdf.queryExecution().toString()
+    kept, sliding.ALONE = sliding.ALONE, -1
+    try:
+        ranged = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    finally:
+        sliding.ALONE = kept
+    assert ("__range" in ranged._jdf.queryExecution().toString()) == (name != "slice_files")
+    assert sorted(map(str, df.collect())) == sorted(map(str, ranged.collect()))
