@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,38 +149,47 @@ def range_join(l, r, numbers: tuple[Column, Column, Column], on_left: bool, on:
     """value between low and high, by buckets: a range goes to each bucket that it touches, a value to its own.
 
     Longer ranges lie in levels of wider buckets, each TOUCHED times the one before, so a range of any length touches
-    TOUCHED + 1 at most, and a value goes to as many buckets as there are levels: a value and a range meet once. For
-    left and anti joins every left row has a number, by which it is seen afterwards whether any of its copies has met.
+    TOUCHED + 1 at most, and a value goes to as many buckets as there are levels with ranges: a value and a range meet
+    once. Ranges that hold nothing count for neither width nor levels. Left values without a match are those left by an
+    anti join at each level; left ranges, those none of whose copies meets. A left join of more than one copy reads its
+    sides for the pairs and again for the rows without a match.
     """
     value, low, high = numbers
-    values, ranges = (l, r) if on_left else (r, l)
+    ranges = r if on_left else l
     length = high - low
-    measured = ranges.agg(F.avg(length), F.max(length)).first()
+    real = ranges.where(low <= high)
+    measured = real.agg(F.avg(length), F.max(length)).first()
     width = width if width is not None else max(float(measured[0] or 1.0), 1e-9)
     levels = 1
     while width * TOUCHED**levels < (measured[1] or 0.0) and levels < 64:
         levels += 1
     level = sum((F.when(length > F.lit(width * TOUCHED ** (i + 1)), 1).otherwise(0) for i in range(levels - 1)), F.lit(0))
+    used = sorted(x[0] for x in real.select(level.alias("n")).distinct().collect()) if levels > 1 else [0]
     bucket = lambda c, n: F.floor(c / (F.lit(width) * F.pow(F.lit(float(TOUCHED)), n)))
     touched = F.transform(F.sequence(bucket(low, level), bucket(high, level)), lambda x: F.struct(level.alias("level"), x.alias("at")))
-    nowhere = F.array(F.lit(None).cast("struct<level:int,at:bigint>"))
-    ranges_of = lambda df, keep: df.withColumn("bucket.r", F.explode(F.when(low <= high, touched).otherwise(nowhere)) if keep else F.explode(touched)) if keep else df.where(low <= high).withColumn("bucket.r", F.explode(touched))
-    values_of = lambda df: df.withColumn("bucket.v", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), bucket(value, F.lit(i)).alias("at")) for i in range(levels)])))
-    meet = named("bucket.v") == named("bucket.r")
-    if how == "inner":
-        x, y = (values_of(l), ranges_of(r, False)) if on_left else (ranges_of(l, False), values_of(r))
-        return x.join(y, meet & on, "inner")
-    x, y = (values_of, lambda df: ranges_of(df, False)) if on_left else (lambda df: ranges_of(df, True), values_of)
-    return settled(x(l.withColumn("row.l", F.monotonically_increasing_id())), y(r), meet & on, how)
-
-
-def settled(copies, r, on: Column, how: str):
-    """A left or anti join of rows of which there are copies by the number "row.l": a row without a match stays once."""
-    met = copies.join(r.withColumn("hit.r", F.lit(True)), on, "left")
-    row = Window.partitionBy(named("row.l"))
-    met = met.withColumn("any", F.coalesce(F.max(named("hit.r")).over(row), F.lit(False))).withColumn("nth", F.row_number().over(row.orderBy(named("hit.r").asc_nulls_last())))
-    lone = ~F.col("any") & (F.col("nth") == 1)
-    return met.where(lone if how == "left_anti" else named("hit.r").isNotNull() | lone)
+    ranges_of = lambda df: df.where(low <= high).withColumn("bucket.r", F.explode(touched))
+    values_of = lambda df, at: df.withColumn("bucket.v", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), bucket(value, F.lit(i)).alias("at")) for i in at])))
+    on = (named("bucket.v") == named("bucket.r")) & on
+    if how == "inner" or (on_left and how == "left" and len(used) == 1):
+        return values_of(l, used).join(ranges_of(r), on, how) if on_left else ranges_of(l).join(values_of(r, used), on, how)
+    if on_left:
+        lone = reduce(lambda df, i: values_of(df, [i]).join(ranges_of(r), on, "left_anti").select(*map(named, l.columns)), used, l)
+        met = (values_of(l, used), ranges_of(r))
+    else:
+        nowhere = F.array(F.lit(None).cast("struct<level:int,at:bigint>"))
+        copies = l.withColumn("row.l", F.monotonically_increasing_id()).withColumn("all.l", F.when(low <= high, touched).otherwise(nowhere))
+        copies = copies.select("*", F.size("`all.l`").alias("copies.l"), F.explode("`all.l`").alias("bucket.r"))
+        lone = unmet(copies, values_of(r, used), on, l.columns)
+        met = (ranges_of(l), values_of(r, used))
+    return lone if how == "left_anti" else met[0].join(met[1], on, "inner").unionByName(lone, allowMissingColumns=True)
+
+
+def unmet(copies, r, on: Column, columns: list[str]):
+    """The rows, by their number "row.l", none of whose "copies.l" copies has a match. Only copies without one are
+    gathered by row, so a row of many matches is no one task's load."""
+    left = copies.join(r, on, "left_anti").groupBy(named("row.l"), named("copies.l"))
+    rows = left.agg(F.count("*").alias("n"), F.first(F.struct(*map(named, columns))).alias("row")).where(F.col("n") == named("copies.l"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def product(l, r, on: Column, how: str):  # noqa: E741

@@ -130,6 +130,46 @@ def test_range_join_by_buckets(session, monkeypatch):
         assert "bucket" in session.relation(q).df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("head", ["LeftJoin", "AntiJoin"])
+def test_left_and_anti_range_joins_by_buckets(session, monkeypatch, head):
+    """Values and ranges on the left, of one length and of many, empty and null ones among them: all as a broadcast has it."""
+    from quillon.operators import joins
+
+    r = random.Random(5)
+    values = "(Table (p NULL " + " ".join(str(r.randint(-500, 500)) for _ in range(60)) + "))"
+    lows = [r.randint(-500, 500) for _ in range(24)]
+    spans = lambda lengths: "(Table (lo NULL " + " ".join(map(str, lows)) + ") (hi 3 " + " ".join(str(x + n) for x, n in zip(lows, lengths)) + "))"
+    for lengths in ([r.choice([0, 1, 2, -40]) for _ in lows], [r.choice([0, 0, 1, 5, -9]) if i else 400 for i in range(24)], [-1] * 24):
+        for a, b, keys in ((values, spans(lengths), "p"), (spans(lengths), values, "lo hi")):
+            q = f"(OrderBy ({head} {a} {b} (Between p lo hi)) (keys {keys if head == 'AntiJoin' else 'p lo hi'}))"
+            for width in (None, 1.0):
+                session.range_width = width
+                monkeypatch.setattr(joins, "SMALL", 1 << 63)  # a literal's estimate is the largest long
+                want = ev(session, q)
+                monkeypatch.setattr(joins, "SMALL", -1)
+                assert ev(session, q) == want
+
+
+@pytest.mark.parametrize("head", ["LeftJoin", "AntiJoin"])
+def test_empty_ranges_neither_copy_values_nor_gather_rows(session, monkeypatch, head):
+    """One level of buckets: each value of the left side goes to one bucket, and no window or aggregate follows."""
+    from quillon.operators import joins
+
+    monkeypatch.setattr(joins, "SMALL", -1)
+    plan = session.relation(f"({head} (Table (p 1 7 30)) (Table (lo 0 5 900) (hi 9 8 3)) (Between p lo hi))").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan and "Window" not in plan and "Aggregate" not in plan
+    assert plan.count("level, 0, at") == 2 and "level, 1, at" not in plan
+
+
+@pytest.mark.parametrize("name", ["join_left_range"])
+def test_orders_go_to_one_bucket_each(spark, name):
+    """Days against three ranges, one of which holds nothing: each order once, no window over its copies."""
+    from quillon import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("level, 0, at") == 2 and "level, 1, at" not in plan and "Window" not in plan
+
+
 def test_sliding(session):
     assert ev(session, "(Cumulate (Table (v 1 NULL 3)) (Sum v))") == "(Table (v 1 NULL 3) (sum(v) 1 1 4))"
     # ties stand one by one, in the order they came
