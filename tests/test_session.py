@@ -161,7 +161,7 @@ def test_empty_ranges_neither_copy_values_nor_gather_rows(session, monkeypatch,
     assert plan.count("level, 0, at") == 2 and "level, 1, at" not in plan
 
 
-@pytest.mark.parametrize("name", ["join_left_range", "join_left_range_large", "join_anti_range"])
+@pytest.mark.parametrize("name", ["join_left_range", "join_left_range_large", "join_anti_range", "join_anti_range_large"])
 def test_orders_go_to_one_bucket_each(spark, name):
     """Days against three ranges, one of which holds nothing: each order once, no window over its copies."""
     from quillon import queries
