@@ -84,7 +84,7 @@ def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column:
 
     Columns are renamed before joining, so self-joins and clashing names are never ambiguous; predicates use the input
     names, the left side's where both have one. Without an equality a small side is broadcast; two large sides joined
-    by a range of numbers, dates or times meet in buckets of `width`, or of the ranges' mean length; anything else is a
+    by a range of numbers, dates or times meet in buckets of `width`, or of a quarter of the ranges' mean length; anything else is a
     product of pairs, which no side is broadcast for.
     """
     left, right = plain(left), plain(right)
@@ -159,7 +159,8 @@ def range_join(l, r, numbers: tuple[Column, Column, Column], on_left: bool, on:
     length = high - low
     real = ranges.where(low <= high)
     measured = real.agg(F.avg(length), F.max(length)).first()
-    width = width if width is not None else max(float(measured[0] or 1.0), 1e-9)
+    # a quarter of the mean: more buckets, so values are dealt to more tasks
+    width = width if width is not None else max(float(measured[0] or 1.0) / 4, 1e-9)
     levels = 1
     while width * TOUCHED**levels < (measured[1] or 0.0) and levels < 64:
         levels += 1
