@@ -84,8 +84,8 @@ def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column:
 
     Columns are renamed before joining, so self-joins and clashing names are never ambiguous; predicates use the input
     names, the left side's where both have one. Without an equality a small side is broadcast; two large sides joined
-    by a range of numbers, dates or times meet in buckets of `width`, or of a quarter of the ranges' mean length; anything else is a
-    product of pairs, which no side is broadcast for.
+    by a range of numbers, dates or times meet in buckets of `width`, or of a quarter of the ranges' mean length, less for
+    few ranges; anything else is a product of pairs, which no side is broadcast for.
     """
     left, right = plain(left), plain(right)
     a, b = sides(left, right)
@@ -141,14 +141,31 @@ def join(kind: str, left: Relation, right: Relation, preds: list[Expr], column:
     return output(l.join(r, on, how), left, right, a, b, kind)
 
 
-#: How many buckets a range may touch before it goes to wider ones.
-TOUCHED = 16
+#: Each level's buckets are so many times as wide as those of the level before.
+WIDER = 16
+#: How many buckets a range may touch before it goes to wider ones; if the width is given, WIDER is the bound.
+TOUCHED = 1024
+
+
+def scale(count: int, mean: float, longest: float, far: float, width: float | None = None) -> tuple[float, list[float]]:
+    """The width of the narrowest buckets, and the longest range of each level but the last.
+
+    A quarter of the mean has ranges copied five times on average, whatever their lengths; few ranges may be copied more
+    often, to deal values to more tasks. Ranges of a wider level touch TOUCHED / WIDER of its buckets at least. Numbers of
+    buckets up to `far`, the bound furthest from zero, stay within a double's digits.
+    """
+    most = TOUCHED if width is None else WIDER
+    width = width if width is not None else max(float(mean or 1.0) / max(4, TOUCHED / 2 / max(count, 1)), 1e-9, (far or 0.0) * 2.0**-53)
+    ends: list[float] = []
+    while width * most * WIDER ** len(ends) < (longest or 0.0) and len(ends) < 63:
+        ends.append(width * most * WIDER ** len(ends))
+    return width, ends
 
 
 def range_join(l, r, numbers: tuple[Column, Column, Column], on_left: bool, on: Column, how: str, width: float | None):  # noqa: E741
     """value between low and high, by buckets: a range goes to each bucket that it touches, a value to its own.
 
-    Longer ranges lie in levels of wider buckets, each TOUCHED times the one before, so a range of any length touches
+    Longer ranges lie in levels of wider buckets, each WIDER times the one before, so a range of any length touches
     TOUCHED + 1 at most, and a value goes to as many buckets as there are levels with ranges: a value and a range meet
     once. Ranges that hold nothing count for neither width nor levels. Left values without a match are those left by an
     anti join at each level; left ranges, those none of whose copies meets. A left join of more than one copy reads its
@@ -158,15 +175,10 @@ def range_join(l, r, numbers: tuple[Column, Column, Column], on_left: bool, on:
     ranges = r if on_left else l
     length = high - low
     real = ranges.where(low <= high)
-    measured = real.agg(F.avg(length), F.max(length)).first()
-    # a quarter of the mean: more buckets, so values are dealt to more tasks
-    width = width if width is not None else max(float(measured[0] or 1.0) / 4, 1e-9)
-    levels = 1
-    while width * TOUCHED**levels < (measured[1] or 0.0) and levels < 64:
-        levels += 1
-    level = sum((F.when(length > F.lit(width * TOUCHED ** (i + 1)), 1).otherwise(0) for i in range(levels - 1)), F.lit(0))
-    used = sorted(x[0] for x in real.select(level.alias("n")).distinct().collect()) if levels > 1 else [0]
-    bucket = lambda c, n: F.floor(c / (F.lit(width) * F.pow(F.lit(float(TOUCHED)), n)))
+    width, ends = scale(*real.agg(F.count("*"), F.avg(length), F.max(length), F.max(F.greatest(F.abs(low), F.abs(high)))).first(), width)
+    level = sum((F.when(length > F.lit(end), 1).otherwise(0) for end in ends), F.lit(0))
+    used = sorted(x[0] for x in real.select(level.alias("n")).distinct().collect()) if ends else [0]
+    bucket = lambda c, n: F.floor(c / (F.lit(width) * F.pow(F.lit(float(WIDER)), n)))
     touched = F.transform(F.sequence(bucket(low, level), bucket(high, level)), lambda x: F.struct(level.alias("level"), x.alias("at")))
     ranges_of = lambda df: df.where(low <= high).withColumn("bucket.r", F.explode(touched))
     values_of = lambda df, at: df.withColumn("bucket.v", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), bucket(value, F.lit(i)).alias("at")) for i in at])))

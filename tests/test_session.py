@@ -170,6 +170,38 @@ def test_orders_go_to_one_bucket_each(spark, name):
     assert plan.count("level, 0, at") == 2 and "level, 1, at" not in plan and "Window" not in plan
 
 
+def test_few_or_long_ranges_deal_values_to_many_buckets():
+    """The longest of a few ranges, and each range of a wider level, touches 64 buckets at least and 1,025 at most."""
+    from quillon.operators import joins
+
+    width, ends = joins.scale(3, 862.0, 2556.0, 10591.0)  # the seasons, in days
+    assert not ends and 64 <= 2556 / width <= 1024
+    width, ends = joins.scale(10**6, 2.0, 10**6, 10**9)
+    assert width == 0.5 and len(ends) == 3
+    for i, (shortest, longest) in enumerate(zip([0, *ends], [*ends, 10**6])):
+        at = width * joins.WIDER**i
+        assert (not i or shortest / at >= 64) and longest / at <= 1024
+    assert 2e18 / joins.scale(2, 1.0, 1.0, 2e18)[0] < 2**62  # bounds that are ids of 64 bits don't fall into one bucket
+
+
+@pytest.mark.parametrize("head", ["Join", "LeftJoin", "AntiJoin"])
+def test_measured_buckets_of_many_levels(session, monkeypatch, head):
+    """Ranges of very different lengths by the measured width, values and ranges on the left: all as a broadcast has it."""
+    from quillon.operators import joins
+
+    r = random.Random(8)
+    values = "(Table (p NULL " + " ".join(str(r.randint(-9000, 90000)) for _ in range(90)) + "))"
+    spans = [(x, x + n) for x, n in ((r.randint(-9000, 90000), r.choice([0, 1, 2, -3])) for _ in range(450))] + [(-500, 5000), (7, 80000)]
+    ranges = "(Table (lo NULL " + " ".join(str(x) for x, _ in spans) + ") (hi 3 " + " ".join(str(y) for _, y in spans) + "))"
+    for a, b, keys in ((values, ranges, "p"), (ranges, values, "lo hi")):
+        q = f"(OrderBy ({head} {a} {b} (Between p lo hi)) (keys {keys if head == 'AntiJoin' else 'p lo hi'}))"
+        monkeypatch.setattr(joins, "SMALL", 1 << 63)
+        want = ev(session, q)
+        monkeypatch.setattr(joins, "SMALL", -1)
+        assert ev(session, q) == want
+        assert "level, 1, at" in session.relation(q).df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sliding(session):
     assert ev(session, "(Cumulate (Table (v 1 NULL 3)) (Sum v))") == "(Table (v 1 NULL 3) (sum(v) 1 1 4))"
     # ties stand one by one, in the order they came
